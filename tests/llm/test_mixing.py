@@ -25,7 +25,7 @@ def documents():
     rows = [(i, "w " * (i % 37 + 1), f"s{i % 7}") for i in range(2000)]
     rows += [(5000 + i, "hot words " * (i % 11), "big") for i in range(1500)]
     rows += [(9000, None, "s1"), (9001, "", None), (9002, "a\x0bb c d", None), (9003, "x " * 20000, "Z"), (9004, "one", "é")]
-    rows += [(None, "no id", "s2"), (7, "w " * 8, "s0"), (7, "w " * 8, "s0"), (8, "other", "none"), (9010, None, "nothing")]
+    rows += [(None, "no id", "s2"), (7, "w " * 8, "s0"), (7, "w " * 8, "s0"), (9020, "other", "none"), (9010, None, "nothing")]
     return rows
 
 

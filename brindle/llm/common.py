@@ -72,5 +72,8 @@ def slices(batches, text: str = "text", most: int = 8 << 20):
             start = stop
 
 
-def binaries(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, type=pa.binary())
+def process_cache() -> dict:
+    """A dict for each Python process: functions come to workers by value, so their modules' own globals do not last."""
+    import sys
+
+    return sys.__dict__.setdefault("_brindle_cache", {})

@@ -1,11 +1,15 @@
 """The queries of this package and their SQL, where SQL can say them."""
 
-from . import exact, mixing, simhash
+from . import exact, mixing, packing, pivots, quality, simhash, tokens
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1,
     "op2_exact_dedup": exact.op2,
+    "op3_top_products": pivots.op3,
+    "op4_token_counts": tokens.op4,
     "op5_mix_sources": mixing.op5,
+    "op9_pack": packing.op9,
+    "op10_quality": quality.op10,
 }
 
-SQL = {"op2_exact_dedup": exact.SQL}
+SQL = {"op2_exact_dedup": exact.SQL, "op3_top_products": pivots.SQL}

@@ -1,0 +1,113 @@
+import datetime
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from brindle.llm import pii
+
+SCHEMA = "doc_id long, text string, n_card string, _kind string"
+
+
+def digest(*parts):
+    return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+
+def brute_digits(d, kind, key=pii.KEY):
+    n, low = len(d), len(d) // 2
+    high = n - low
+    left, right = int(d[:high]), int(d[high:])
+    for i in range(pii.ROUNDS):
+        m = digest(key, kind, n, i, right if i % 2 == 0 else left)
+        if i % 2 == 0:
+            left = (left + m) % 10**high
+        else:
+            right = (right + m) % 10**low
+    return f"{left:0{high}d}{right:0{low}d}"
+
+
+def luhn(payload):
+    total = 0
+    for i, c in enumerate(reversed(payload)):
+        x = int(c) * (2 if i % 2 == 0 else 1)
+        total += x // 10 + x % 10
+    return -total % 10
+
+
+def shape(m, d):
+    it = iter(d)
+    return "".join(next(it) if c.isdigit() else c for c in m)
+
+
+def mapped(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "m string")
+    return dict((r.m, r.p) for r in df.select("m", pii.pseudonym(F.col("m")).alias("p")).collect())
+
+
+def test_numbers_against_brute_force(spark):
+    rng = random.Random(1)
+    phones = [f"+1 ({rng.randrange(1000):03d}) 555-{rng.randrange(10000):04d}" for _ in range(50)] + ["212-555-0101", "+49 212.555.0101"]
+    cards = ["".join(rng.choice("0123456789") for _ in range(n)) for n in (13, 16, 16, 16, 19) for _ in range(20)]
+    cards += ["4111 1111 1111 1111", "4111-1111-1111-1112"] + [c + str(luhn(c)) for c in ("".join(rng.choice("0123456789") for _ in range(15)) for _ in range(20))]
+    national = ["123-45-6789", "000-00-0000"]
+    got = mapped(spark, phones + cards + national)
+    for m in phones:
+        bare = re.sub(r"\D", "", m)
+        assert got[m] == shape(m, bare[:-10] + brute_digits(bare[-10:], "phone"))
+    for m in cards:
+        bare = re.sub(r"\D", "", m)
+        hidden = brute_digits(bare[:-1], "card")
+        assert got[m] == shape(m, hidden + str((luhn(hidden) + int(bare[-1]) - luhn(bare[:-1])) % 10))
+        assert (luhn(re.sub(r"\D", "", got[m])[:-1]) == int(got[m][-1])) == (luhn(bare[:-1]) == int(bare[-1]))
+    for m in national:
+        assert got[m] == shape(m, brute_digits(m.replace("-", ""), "national"))
+    assert len(set(got.values())) == len(got)
+
+
+def test_permutations(spark):
+    two = spark.range(10000).select(pii.digits(F.lpad(F.col("id").cast("string"), 4, "0"), "x", "k").alias("p"))
+    assert two.distinct().count() == 10000 and two.where(F.length("p") != 4).count() == 0
+    days = spark.range(270 * 271).select(pii.feistel(F.col("id"), *pii.DAYS, "date", "k").alias("p"))
+    assert days.distinct().count() == 270 * 271
+    other = spark.range(10000).select(pii.digits(F.lpad(F.col("id").cast("string"), 4, "0"), "x", "k2").alias("p"))
+    assert other.exceptAll(two).count() == 0 and [r.p for r in other.limit(50).collect()] != [r.p for r in two.limit(50).collect()]
+
+
+def test_dates_and_addresses(spark):
+    got = mapped(spark, ["2024-02-29", "29/02/2024", "29.02.2024", "2023-02-29", "1900-01-01", "10.0.0.1", "255.255.255.255", "some.one@example.org", "a" * 40, "AB" * 20])
+    day = datetime.date.fromisoformat(got["2024-02-29"])
+    assert got["29/02/2024"] == day.strftime("%d/%m/%Y") and got["29.02.2024"] == day.strftime("%d.%m.%Y") and day != datetime.date(2024, 2, 29)
+    assert got["2023-02-29"] == "2023-02-29"
+    for m in ("10.0.0.1", "255.255.255.255"):
+        assert got[m] != m and all(0 <= int(x) < 256 for x in got[m].split(".")) and got[m].count(".") == 3
+    assert re.fullmatch(r"u[0-9a-f]{12}@pseudonym\.invalid", got["some.one@example.org"])
+    assert re.fullmatch("[0-9a-f]{40}", got["a" * 40]) and re.fullmatch("[0-9A-F]{40}", got["AB" * 20])
+
+
+def test_texts(spark):
+    rows = [
+        (1, "Call +1 (212) 555-0101 or mail a.b@mail1.example.com. Card 4111111111111111, from 10.1.2.3; on 2020-01-31!"),
+        (2, "again +1 (212) 555-0101\nand 4111111111111111"),
+        (3, None), (4, ""), (5, "nothing here, version 2.0. and 3."), (6, 'token = "ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e"### next'),
+        (7, "4111111111111111"), (None, "no id 123-45-6789 end"), (7, "4111111111111111"), (8, "x" * 300_000 + " a@b.co " + "9" * 300_000),
+        (9, "words " * 60_000), (10, "A.B@MAIL7.EXAMPLE.COM!! $1 \\2 {x}"), (11, "1.2.3.4.5 256.1.1.1 12345678901234567890"),
+    ]
+    df = spark.createDataFrame([(a, b, "clash", "clash") for a, b in rows], SCHEMA).repartition(3)
+    out = pii.pseudonymised(df).collect()
+    assert len(out) == len(rows)
+    got = {r.doc_id: r for r in out}
+    one, two = got[1].text, got[2].text
+    assert (got[1].n_phone, got[1].n_email, got[1].n_card, got[1].n_ip, got[1].n_date) == (1, 1, 1, 1, 1)
+    m = re.fullmatch(r"Call (\+1 \(\d{3}\) \d{3}-\d{4}) or mail (\S+@pseudonym\.invalid)\. Card (\d{16}), from ([\d.]+); on (\d{4}-\d\d-\d\d)!", one)
+    assert m and two == f"again {m[1]}\nand {m[3]}" and got[7].text == m[3]
+    assert got[3].text is None and got[4].text == "" and got[5].text == rows[4][1] and got[9].text == rows[10][1]
+    assert got[6].n_secret == 1 and "ab8ca1b3" not in got[6].text and got[6].text.startswith('token = "') and got[6].text.endswith('"### next')
+    assert re.fullmatch(r"no id \d{3}-\d\d-\d{4} end", got[None].text) and "123-45-6789" not in got[None].text
+    assert got[8].text.startswith("x" * 300_000 + " u") and got[8].text.endswith("9" * 300_000)
+    assert got[10].text.endswith("!! $1 \\2 {x}") and "MAIL7" not in got[10].text
+    assert got[11].text == rows[-1][1]
+
+
+def test_empty(spark):
+    assert pii.pseudonymised(spark.createDataFrame([], SCHEMA)).count() == 0

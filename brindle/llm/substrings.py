@@ -33,8 +33,8 @@ from .common import raw, slices, table
 
 WINDOW = 13
 GRAM = 3
-#: Bytes of input (as Spark estimates it) for each shard.
-SHARD_BYTES = 8 << 20
+#: Bytes of texts for each shard.
+SHARD_BYTES = 16 << 20
 #: Suffixes are told apart by so many words; a power of two above WINDOW.
 DEPTH = 16
 _LAST = (1 << 63) - 1
@@ -204,6 +204,8 @@ class FMIndex:
             _, rank = np.unique(key, return_inverse=True)
             have *= 2
         self.order = np.argsort(rank, kind="stable")
+        # The row of the whole text has the end's symbol, which belongs before all rows: search() puts that right.
+        self.end, self.whole = (int(text[-1]), int(np.flatnonzero(self.order == 0)[0])) if n else (-1, 0)
         last = text[self.order - 1]
         sigma = int(text.max(initial=0)) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
@@ -226,11 +228,12 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search of all rows at once: intervals of the suffix order (empty if there is no match)."""
-        low = np.zeros(len(patterns), dtype=np.int64)
-        high = np.full(len(patterns), len(self.order), dtype=np.int64)
-        for k in range(patterns.shape[1] - 1, -1, -1):
+        c = patterns[:, -1]
+        low, high = self.first[c], self.first[c + 1]
+        for k in range(patterns.shape[1] - 2, -1, -1):
             c = patterns[:, k]
-            low, high = self.first[c] + self.rank(c, low), self.first[c] + self.rank(c, high)
+            at_end = c == self.end
+            low, high = (self.first[c] + self.rank(c, i) + (at_end & (i <= self.whole)) for i in (low, high))
         return low, np.maximum(low, high)
 
 
@@ -383,8 +386,8 @@ def _digest(batches):
 
 
 def shards_for(docs: DataFrame) -> int:
-    """As many as the data need, by Spark's estimate of their size, and no fewer than the shuffle's partitions."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """As many as the bytes of all texts need, and no fewer than the shuffle's partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return int(min(1 << 20, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))))
 
 
@@ -405,7 +408,7 @@ def _with_intervals(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words themselves, joined by single blanks."""
     out = _with_intervals(docs).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
-    return out.withColumn("kept", F.decode("kept", F.lit("UTF-8")))
+    return out.withColumn("kept", F.decode("kept", "UTF-8"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

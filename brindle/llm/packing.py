@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,19 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces packed together, about.
 GROUP = 40_000
 #: Chunks and pieces of words that a task remembers between batches.
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
+def _words(text: str) -> list[str]:
+    """Parted at white space; str.split() also parts at four separators that the tokenizer does not."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w for w in _SPACE.split(text) if w]
+    return text.split()
+
+
+
 def _byte_characters() -> dict[int, str]:
     """Bytes as the printable characters that byte-level vocabularies write them with."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,14 +72,24 @@ class Chunks(dict):
     def forget(self) -> None:
         self.clear()
         self.pieces.clear()
-        self.ids: list[int] = []
-        self.ends = [0]
+        self.ids = array("I")
+        self.ends = array("q", [0])
 
     def __missing__(self, chunk: str) -> int:
-        self.ids += self.encode(chunk)
+        if chunk.isalpha() and len(chunk) <= 1000 and (chunk.isascii() or max(chunk) < "Ā"):
+            piece = chunk.lower()  # a run of letters is one piece
+            ids = self.pieces.get(piece)
+            self.ids.extend(self.word(piece) if ids is None else ids)
+        else:
+            self.ids.extend(self.encode(chunk))
         self.ends.append(len(self.ids))
-        self[chunk] = len(self.ends) - 2
-        return self[chunk]
+        n = self[chunk] = len(self.ends) - 2
+        return n
+
+    def word(self, piece: str) -> list[int]:
+        plain = piece if piece.isascii() and piece.isalnum() else "".join(map(self.bytes.__getitem__, piece.encode()))
+        ids = self.pieces[piece] = [t.id for t in self.model.tokenize(plain)]
+        return ids
 
     def encode(self, chunk: str) -> list[int]:
         latin = chunk.isascii() or max(chunk) < "Ā"
@@ -79,19 +98,19 @@ class Chunks(dict):
         out: list[int] = []
         for piece in self.split(chunk.lower()):
             ids = self.pieces.get(piece)
-            if ids is None:
-                word = piece if piece.isascii() and piece.isalnum() else "".join(map(self.bytes.__getitem__, piece.encode()))
-                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(word)]
-            out += ids
+            out += self.word(piece) if ids is None else ids
         return out
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one behind the other, and where each text ends."""
         if len(self) > REMEMBER:
             self.forget()
-        words = [_SPACE.split(t) if t else [] for t in texts]
-        number = np.fromiter((self[w] for x in words for w in x if w), dtype=np.int64)
-        counts = np.fromiter((len(x) - x.count("") for x in words), dtype=np.int64, count=len(words))
+        counts, numbers = np.zeros(len(texts), dtype=np.int64), []
+        for i, t in enumerate(texts):
+            words = _words(t) if t else ()
+            counts[i] = len(words)
+            numbers.append(np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)))
+        number = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
         flat, ends = np.array(self.ids, dtype=np.uint32), np.array(self.ends, dtype=np.int64)
         starts, lens = ends[:-1][number], np.diff(ends)[number]
         total = np.concatenate([[0], np.cumsum(lens)])

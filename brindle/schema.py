@@ -68,6 +68,7 @@ class TableSchema:
         if columns and not any(c.primary_key for c in columns):
             columns[0] = dataclasses.replace(columns[0], primary_key=True)
         columns = [dataclasses.replace(c, not_null=True) if c.primary_key else c for c in columns]
+        columns = [dataclasses.replace(c, default=c.coerce(c.default)) if c.has_default and c.type in t.WIDTH else c for c in columns]
         object.__setattr__(self, "columns", tuple(columns))
         object.__setattr__(self, "foreign_keys", tuple(self.foreign_keys))
         self._check()
@@ -96,8 +97,6 @@ class TableSchema:
                 raise EngineError(f"{c.name}: ENUM needs 1 to {MAX_LABELS} different labels of up to {MAX_LABEL} characters")
             if c.auto_increment and not (c.primary_key and c.type == t.INT):
                 raise EngineError(f"{c.name}: AUTO_INCREMENT is for an INT primary key")
-            if c.has_default:
-                c.coerce(c.default)
         for k in self.foreign_keys:
             self.column(k.column)
 
@@ -142,6 +141,5 @@ class TableSchema:
     def from_json(cls, x: dict) -> TableSchema:
         columns = []
         for c in x["columns"]:
-            c = ColumnDef(**(c | {"labels": tuple(c["labels"])}))
-            columns.append(dataclasses.replace(c, default=c.coerce(c.default)) if c.has_default else c)
+            columns.append(ColumnDef(**(c | {"labels": tuple(c["labels"])})))
         return cls(x["name"], tuple(columns), tuple(ForeignKey(**k) for k in x["foreign_keys"]), x["next_id"])

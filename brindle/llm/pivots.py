@@ -193,9 +193,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(1024 * cast(x as double))) as e
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e
   from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),

@@ -1,16 +1,18 @@
 """Operator 6: passages of WINDOW words that an earlier document has too, by FM-indexes over shards.
 
-1. Every window of 13 words belongs to an anchor, the smallest hash of its 3-word grams. Runs of windows with
-   one anchor go together, as a piece of text, to the shard of that anchor: equal windows meet in one shard,
-   wherever they stand. Pieces that are the same within a slice of input go once, with the smallest doc_id;
-   for all others their windows are known to be repeats. So a passage that a third of all rows hold leaves
-   a task once. Pieces travel compressed, a bundle for each slice and shard.
-2. A shard drops anchors that only one piece has, collapses equal pieces as before, and builds an FM-index
-   over the rest: a Burrows-Wheeler transform over word numbers in a wavelet matrix of packed bits with rank
-   counts. The pieces are streamed through it by backward search; where a match reaches 13 words, the
-   smallest doc_id of its interval tells whether an earlier document has it. Suffixes are sorted by their
-   first 16 words, which is as deep as a search goes.
-3. Intervals join the documents by (doc_id, hash of text), and each document is cut by its own intervals.
+1. Documents are packed into slices, files in the shared folder that all later steps read. Every window of 13
+   words belongs to an anchor, the smallest hash of its 3-word grams; runs of windows with one anchor are a piece.
+2. Only anchors go to shards first, 8 bytes a piece. Those that two pieces have anywhere come back to their
+   slices; all others cannot be in a repeat, and their text never moves.
+3. Pieces with such anchors go to the shard of their anchor: equal windows meet in one shard, wherever they
+   stand. Pieces that are the same within a slice go once, with the smallest doc_id; for all others their
+   windows are known to be repeats. So a passage that a third of all rows hold leaves a slice once. Pieces
+   travel compressed, a bundle for each slice and shard.
+4. A shard collapses equal pieces as before and builds an FM-index over the rest: a Burrows-Wheeler transform
+   over word numbers in a wavelet matrix of packed bits with rank counts. The pieces are streamed through it by
+   backward search; where a match reaches 13 words, the smallest doc_id of its interval tells whether an earlier
+   document has it. Suffixes are sorted by their first 16 words, which is as deep as a search goes.
+5. Intervals go back to their slices, whose documents are cut by them.
 
 Defined results: a null text has no words; documents of fewer than 13 words lose none; a null doc_id is
 larger than any other; rows with one doc_id are one document to the rule, so they take nothing from each
@@ -24,22 +26,24 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, slices, table
+from .common import Kept, raw, slices, table
 
 WINDOW = 13
 GRAM = 3
-#: Bytes of texts for each shard.
+#: Bytes of texts for each shard of pieces, for each shard of anchors, and for a slice.
 SHARD_BYTES = 16 << 20
+ANCHOR_BYTES = 256 << 20
+SLICE_BYTES = 4 << 20
 #: Suffixes are told apart by so many words; a power of two above WINDOW.
 DEPTH = 16
 _LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SHIP = "shard int, doc long, row long, blob binary"
+_SHIP = "shard int, slice long, blob binary"
+_REPLY = "slice long, blob binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -108,69 +112,139 @@ def _same(keys: list[bytes], docs: np.ndarray):
     return stays
 
 
-def _intervals(docs, rows, starts, lengths):
-    """Word intervals -> one row for each (doc, row)."""
-    order = np.lexsort((starts, rows, docs))
-    docs, rows, starts, lengths = docs[order], rows[order], starts[order], lengths[order]
-    pairs = np.stack([starts, lengths], axis=1).astype("<i4")
-    cuts = np.flatnonzero((docs[1:] != docs[:-1]) | (rows[1:] != rows[:-1])) + 1
-    lows = np.concatenate([[0], cuts]).astype(np.int64) if len(docs) else np.zeros(0, dtype=np.int64)
-    highs = np.append(cuts, len(docs))
-    return docs[lows], rows[lows], [pairs[i:j].tobytes() for i, j in zip(lows.tolist(), highs.tolist())] if len(docs) else []
+def _rows(schema: str, *cols) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(cols, types)], names=list(names))
+
+
+def _intervals(slices_, rows, starts, lengths) -> pa.RecordBatch:
+    """Word intervals -> one row for each slice: triples of the row's number in it, first word, number of words."""
+    order = np.argsort(slices_, kind="stable")
+    held = slices_[order]
+    triples = np.stack([rows[order], starts[order], lengths[order]], axis=1).astype("<i4")
+    lows = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, dtype=np.int64)
+    highs = np.append(lows[1:], len(held))
+    return _rows(_REPLY, held[lows], [triples[i:j].tobytes() for i, j in zip(lows.tolist(), highs.tolist())] if len(held) else [])
+
+
+def _pack(most: int):
+    """Input rows -> slices: ids, whether an id is null, lengths in bytes, words joined by single blanks."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        squeeze = zstandard.ZstdCompressor(level=3)
+        at = None
+        for batch in slices(batches, most=most):
+            at = TaskContext.get().partitionId() << 34 if at is None else at + 1
+            ids = batch.column(0).to_pylist()
+            norms = [b" ".join((x or b"").split()) for x in raw(batch.column(1))]
+            head = np.array([_LAST if i is None else i for i in ids], dtype="<i8").tobytes() + np.array([i is None for i in ids], dtype="u1").tobytes()
+            head += np.array([len(x) for x in norms], dtype="<i8").tobytes()
+            yield _rows(_REPLY, [at], [struct.pack("<i", len(ids)) + squeeze.compress(head + b"".join(norms))])
+
+    return run
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    n = struct.unpack_from("<i", blob)[0]
+    data = zstandard.ZstdDecompressor().decompress(blob[4:])
+    ids, nulls, lens = np.frombuffer(data, "<i8", n), np.frombuffer(data, "u1", n, 8 * n), np.frombuffer(data, "<i8", n, 9 * n)
+    ends = (17 * n + np.cumsum(lens)).tolist()
+    return ids, nulls.astype(bool), [data[j - k : j] for j, k in zip(ends, lens.tolist())]
+
+
+def _long_enough(norms: list[bytes]) -> list[int]:
+    return [i for i, x in enumerate(norms) if x.count(b" ") >= WINDOW - 1]
+
+
+def _by_shard(shard: np.ndarray):
+    """(shard, places) for each shard that has places."""
+    order = np.argsort(shard, kind="stable")
+    held = shard[order]
+    lows = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else []
+    for lo, hi in zip(lows, [*lows[1:], len(held)]):
+        yield int(held[lo]), order[lo:hi]
+
+
+def _anchors(shards: int):
+    """Slices -> for each slice and shard its anchors; first those that one piece of the slice has."""
+
+    def run(batches):
+        for batch in batches:
+            for at, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                norms = _unpack(blob)[2]
+                anchor = _pieces([norms[i] for i in _long_enough(norms)])[3]
+                anchor, times = np.unique(anchor.astype(np.uint64), return_counts=True)
+                out = [[], []]
+                for k, own in _by_shard((anchor % np.uint64(shards)).astype(np.int64)):
+                    own = own[np.argsort(times[own] > 1, kind="stable")]
+                    out[0].append(k)
+                    out[1].append(struct.pack("<i", int((times[own] == 1).sum())) + anchor[own].tobytes())
+                yield _rows(_SHIP, out[0], [at] * len(out[0]), out[1])
+
+    return run
+
+
+def _repeated(batches):
+    """A shard's anchors -> for each slice those that more than one piece has."""
+    of, held, many = [], [], []
+    for batch in batches:
+        for at, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            own = np.frombuffer(blob, "<u8", offset=4)
+            of.append(np.full(len(own), at))
+            held.append(own)
+            many.append(np.arange(len(own)) >= struct.unpack_from("<i", blob)[0])
+    if not held:
+        return
+    of, held, many = map(np.concatenate, (of, held, many))
+    _, back, times = np.unique(held, return_inverse=True, return_counts=True)
+    again = times > 1
+    again[back[many]] = True
+    stay = np.flatnonzero(again[back])
+    for k in range(0, len(stay), 1 << 20):
+        at, own = of[stay[k : k + (1 << 20)]], held[stay[k : k + (1 << 20)]]
+        groups = list(_by_shard(at))
+        yield _rows(_REPLY, [g for g, _ in groups], [own[p].tobytes() for _, p in groups])
 
 
 def _ship(shards: int):
+    """Slices with their repeated anchors -> bundles of pieces (p) for shards, and intervals that are known (i)."""
+
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches, most=2 << 20):
-            ids, rows, norms = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
-                words = (text or b"").split()
-                if len(words) >= WINDOW:
-                    ids.append(_LAST if doc is None else doc)
-                    h = xxhash.xxh64_intdigest(text, 42)
-                    rows.append(h - ((h >> 63) << 64))
-                    norms.append(b" ".join(words))
-            if not norms:
-                continue
-            ids, rows = np.array(ids, dtype=np.int64), np.array(rows, dtype=np.int64)
-            whole, h, down, anchor, text, word, n, s, e = _pieces(norms)
-            if not len(anchor):
-                continue
-            doc, row = ids[text], rows[text]
-            # Pieces whose hash is not alone are compared as bytes.
-            mark = _mix((h[e] - h[s]) * down[s]) ^ n.astype(np.uint64)
-            _, back, times = np.unique(mark, return_inverse=True, return_counts=True)
-            maybe = np.flatnonzero(times[back] > 1)
-            stays = np.ones(len(anchor), dtype=bool)
-            stays[maybe] = _same([whole[i:j] for i, j in zip(s[maybe].tolist(), e[maybe].tolist())], doc[maybe])
-            gone = ~stays
-            out = [[], [], [], []]
-            if gone.any():
-                d, r, blobs = _intervals(doc[gone], row[gone], word[gone], n[gone])
-                out = [(np.abs(r) % shards).tolist(), d.tolist(), r.tolist(), [b"i" + b for b in blobs]]
-            keep = np.flatnonzero(stays)
-            shard = (anchor[keep] % np.uint64(shards)).astype(np.int64)
-            keep = keep[np.argsort(shard, kind="stable")]
-            shard.sort()
-            bounds = np.searchsorted(shard, np.arange(shards + 1)) if shards <= 4 * len(keep) else None
-            for k in range(shards) if bounds is not None else np.unique(shard).tolist():
-                lo, hi = (bounds[k], bounds[k + 1]) if bounds is not None else (np.searchsorted(shard, k), np.searchsorted(shard, k, side="right"))
-                if lo == hi:
-                    continue
-                p = keep[lo:hi]
-                head = b"".join(
-                    x.astype(t).tobytes() for x, t in ((anchor[p], "<u8"), (doc[p], "<i8"), (row[p], "<i8"), (word[p], "<i4"), (e[p] - s[p], "<i4"))
-                )
-                body = b"".join([whole[i:j] for i, j in zip(s[p].tolist(), e[p].tolist())])
-                out[0].append(k)
-                out[1].append(None)
-                out[2].append(None)
-                out[3].append(b"p" + struct.pack("<i", len(p)) + squeeze.compress(head + body))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())],
-                names=["shard", "doc", "row", "blob"],
-            )
+        for batch in batches:
+            for at, blob, replies in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                known = np.sort(np.frombuffer(b"".join(replies), dtype="<u8"))
+                ids, _, norms = _unpack(blob)
+                own = np.array(_long_enough(norms), dtype=np.int64)
+                whole, h, down, anchor, text, word, n, s, e = _pieces([norms[i] for i in own.tolist()])
+                p = np.flatnonzero(known[np.searchsorted(known, anchor).clip(max=len(known) - 1)] == anchor)
+                anchor, text, word, n, s, e = (x[p] for x in (anchor, text, word, n, s, e))
+                number = own[text]
+                doc = ids[number]
+                # Pieces whose hash is not alone are compared as bytes.
+                mark = _mix((h[e] - h[s]) * down[s]) ^ n.astype(np.uint64)
+                _, back, times = np.unique(mark, return_inverse=True, return_counts=True)
+                maybe = np.flatnonzero(times[back] > 1)
+                stays = np.ones(len(anchor), dtype=bool)
+                stays[maybe] = _same([whole[i:j] for i, j in zip(s[maybe].tolist(), e[maybe].tolist())], doc[maybe])
+                out = [[], []]
+                if not stays.all():
+                    gone = ~stays
+                    found = _intervals(np.full(int(gone.sum()), at), number[gone], word[gone], n[gone])
+                    out = [[abs(at) % shards], [b"i" + found.column(1)[0].as_py()]]
+                keep = np.flatnonzero(stays)
+                for k, p in _by_shard((anchor[keep] % np.uint64(shards)).astype(np.int64)):
+                    p = keep[p]
+                    head = b"".join(
+                        x.astype(t).tobytes() for x, t in ((anchor[p], "<u8"), (doc[p], "<i8"), (number[p], "<i4"), (word[p], "<i4"), (e[p] - s[p], "<i4"))
+                    )
+                    body = b"".join([whole[i:j] for i, j in zip(s[p].tolist(), e[p].tolist())])
+                    out[0].append(k)
+                    out[1].append(b"p" + struct.pack("<i", len(p)) + squeeze.compress(head + body))
+                yield _rows(_SHIP, out[0], [at] * len(out[0]), out[1])
 
     return run
 
@@ -267,76 +341,72 @@ def earlier_windows(pieces: list[bytes], docs: np.ndarray, window: int = WINDOW,
     return piece[found], offset[found]
 
 
-def _search():
-    def run(batches):
-        parts = []
-        for batch in batches:
-            passed = [[], [], []]
-            for doc, row, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if blob[:1] == b"i":
-                    for x, y in zip(passed, (doc, row, blob[1:])):
-                        x.append(y)
-                else:
-                    parts.append(blob)
-            if passed[0]:
-                yield _found(*passed)
-        grow = zstandard.ZstdDecompressor()
-        heads, bodies = [], []
-        for blob in parts:
+def _search(batches):
+    """A shard's bundles -> intervals of words that an earlier document has."""
+    grow = zstandard.ZstdDecompressor()
+    heads, bodies = [], []
+    for batch in batches:
+        passed = [[], []]
+        for at, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if blob[:1] == b"i":
+                passed[0].append(at)
+                passed[1].append(blob[1:])
+                continue
             n = struct.unpack_from("<i", blob, 1)[0]
             data = grow.decompress(blob[5:])
-            at, cols = 0, []
-            for t, width in (("<u8", 8), ("<i8", 8), ("<i8", 8), ("<i4", 4), ("<i4", 4)):
-                cols.append(np.frombuffer(data, dtype=t, count=n, offset=at))
-                at += n * width
-            ends = at + np.cumsum(cols[4].astype(np.int64))
-            heads.append((cols[0], cols[1], cols[2], cols[3].astype(np.int64), ends - cols[4], ends, np.full(n, len(bodies))))
+            place, cols = 0, []
+            for t, width in (("<u8", 8), ("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4)):
+                cols.append(np.frombuffer(data, dtype=t, count=n, offset=place))
+                place += n * width
+            ends = place + np.cumsum(cols[4].astype(np.int64))
+            heads.append((cols[0], cols[1], np.full(n, at), cols[2].astype(np.int64), cols[3].astype(np.int64), ends - cols[4], ends, np.full(n, len(bodies))))
             bodies.append(data)
-        parts = []
-        if not heads:
-            return
-        anchor, doc, row, word, s, e, body = map(np.concatenate, zip(*heads))
-        heads = []
-        _, back, times = np.unique(anchor, return_inverse=True, return_counts=True)
-        more = np.flatnonzero(times[back] > 1)
-        text = [bodies[b][i:j] for b, i, j in zip(body[more].tolist(), s[more].tolist(), e[more].tolist())]
-        bodies = []
-        anchor, doc, row, word = anchor[more], doc[more], row[more], word[more]
-        stays = _same(text, doc)
-        if not stays.all():
-            gone = np.flatnonzero(~stays)
-            n = np.fromiter((text[i].count(b" ") + 1 for i in gone.tolist()), dtype=np.int64, count=len(gone))
-            yield _found(*_intervals(doc[gone], row[gone], word[gone], n))
-        # What is left of an anchor matters if two documents have it; one entry stands for equal pieces of one document.
-        left = np.flatnonzero(stays)
-        if not len(left):
-            return
-        _, group = np.unique(anchor[left], return_inverse=True)
-        low, high = np.full(group.max() + 1, _LAST), np.full(group.max() + 1, -_LAST)
-        np.minimum.at(low, group, doc[left])
-        np.maximum.at(high, group, doc[left])
-        left = left[(low < high)[group]]
-        places: dict[tuple[bytes, int], list[int]] = {}
-        for i in left.tolist():
-            places.setdefault((text[i], int(doc[i])), []).append(i)
-        if not places:
-            return
-        keys = sorted(places, key=lambda k: int(anchor[places[k][0]]))
-        docs = np.array([d for _, d in keys], dtype=np.int64)
-        for lo, hi in _runs(keys, places, anchor):
-            piece, offset = earlier_windows([t for t, _ in keys[lo:hi]], docs[lo:hi])
-            if not len(piece):
-                continue
-            counts = np.array([len(places[k]) for k in keys[lo:hi]])
-            owners = np.array([i for k in keys[lo:hi] for i in places[k]], dtype=np.int64)
-            first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-            times = counts[piece]
-            which = np.repeat(first[piece], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            own = owners[which]
-            start = word[own] + np.repeat(offset, times)
-            yield _found(*_intervals(doc[own], row[own], start, np.full(len(own), WINDOW)))
-
-    return run
+        if passed[0]:
+            yield _rows(_REPLY, *passed)
+    if not heads:
+        return
+    anchor, doc, of, number, word, s, e, body = map(np.concatenate, zip(*heads))
+    heads = []
+    text = [bodies[b][i:j] for b, i, j in zip(body.tolist(), s.tolist(), e.tolist())]
+    bodies = []
+    stays = _same(text, doc)
+    if not stays.all():
+        gone = np.flatnonzero(~stays)
+        n = np.fromiter((text[i].count(b" ") + 1 for i in gone.tolist()), dtype=np.int64, count=len(gone))
+        yield _intervals(of[gone], number[gone], word[gone], n)
+    # What is left of an anchor matters if two documents have it; one entry stands for equal pieces of one document.
+    left = np.flatnonzero(stays)
+    _, group = np.unique(anchor[left], return_inverse=True)
+    low, high = np.full(group.max() + 1, _LAST), np.full(group.max() + 1, -_LAST - 1)
+    np.minimum.at(low, group, doc[left])
+    np.maximum.at(high, group, doc[left])
+    left = left[(low < high)[group]]
+    places: dict[tuple[bytes, int], list[int]] = {}
+    for i in left.tolist():
+        places.setdefault((text[i], int(doc[i])), []).append(i)
+    if not places:
+        return
+    keys = sorted(places, key=lambda k: int(anchor[places[k][0]]))
+    docs = np.array([d for _, d in keys], dtype=np.int64)
+    for lo, hi in _runs(keys, places, anchor):
+        piece, first, n = _joined(*earlier_windows([t for t, _ in keys[lo:hi]], docs[lo:hi]))
+        if not len(piece):
+            continue
+        counts = np.array([len(places[k]) for k in keys[lo:hi]])
+        owners = np.array([i for k in keys[lo:hi] for i in places[k]], dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
+        times = counts[piece]
+        which = np.repeat(starts[piece], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        own = owners[which]
+        yield _intervals(of[own], number[own], word[own] + np.repeat(first, times), np.repeat(n, times))
+
+
+def _joined(piece: np.ndarray, offset: np.ndarray, window: int = WINDOW):
+    """Windows in order -> runs of neighbouring ones: piece, first word, number of words."""
+    if not len(piece):
+        return piece, offset, offset
+    at = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1)]))
+    return piece[at], offset[at], np.diff(np.append(at, len(piece))) + window - 1
 
 
 def _runs(keys, places, anchor, most: int = 4 << 20):
@@ -350,33 +420,31 @@ def _runs(keys, places, anchor, most: int = 4 << 20):
     return [*out, (lo, len(keys))]
 
 
-def _found(docs, rows, blobs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["doc", "row", "blob"]
-    )
-
-
 def _cut(batches):
-    for batch in slices(batches):
-        n_words, n_removed, shas = [], [], []
-        for text, blobs in zip(raw(batch.column(1)), batch.column(2).to_pylist()):
-            words = (text or b"").split()
-            if blobs:
-                pairs = np.frombuffer(b"".join(blobs), dtype="<i4").reshape(-1, 2)
-                change = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(change, pairs[:, 0], 1)
-                np.add.at(change, pairs[:, 0] + pairs[:, 1], -1)
-                stay = np.flatnonzero(np.cumsum(change[:-1]) == 0)
-                kept = [words[i] for i in stay.tolist()]
-            else:
-                kept = words
-            n_words.append(len(words))
-            n_removed.append(len(words) - len(kept))
-            shas.append(b" ".join(kept))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.binary())],
-            names=["doc_id", "n_words", "n_removed", "kept"],
-        )
+    """Slices with their intervals -> what is left of each document."""
+    for batch in batches:
+        for blob, replies in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            ids, nulls, norms = _unpack(blob)
+            triples = np.frombuffer(b"".join(replies or ()), dtype="<i4").reshape(-1, 3).astype(np.int64)
+            triples = triples[np.argsort(triples[:, 0], kind="stable")]
+            bounds = np.searchsorted(triples[:, 0], np.arange(len(norms) + 1)).tolist()
+            n_words, n_removed, left = [], [], []
+            for i, norm in enumerate(norms):
+                lo, hi = bounds[i], bounds[i + 1]
+                n = norm.count(b" ") + 1 if norm else 0
+                kept = n
+                if lo < hi:
+                    change = np.zeros(n + 1, dtype=np.int64)
+                    np.add.at(change, triples[lo:hi, 1], 1)
+                    np.add.at(change, triples[lo:hi, 1] + triples[lo:hi, 2], -1)
+                    stay = np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()
+                    words = norm.split(b" ")
+                    norm, kept = b" ".join([words[k] for k in stay]), len(stay)
+                n_words.append(n)
+                n_removed.append(n - kept)
+                left.append(norm)
+            cols = [pa.array(ids, pa.int64(), mask=nulls), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 def _digest(batches):
@@ -385,32 +453,24 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shas)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def shards_for(docs: DataFrame) -> int:
-    """As many as the bytes of all texts need, and no fewer than the shuffle's partitions."""
+def cut_slices(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """slice, blob (the packed documents), blobs (their intervals, or null)."""
+    packed = Kept(docs.select("doc_id", "text").mapInArrow(_pack(slice_bytes), _REPLY), "slices").df
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(min(1 << 20, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))))
-
-
-def repeated_intervals(docs: DataFrame) -> DataFrame:
-    """doc (the largest long for a null doc_id), row (hash of the text), blob: pairs of first word and number of words."""
-    shards = shards_for(docs)
-    shipped = docs.select("doc_id", "text").mapInArrow(_ship(shards), _SHIP)
-    return shipped.repartition(shards, "shard").mapInArrow(_search(), "doc long, row long, blob binary")
-
-
-def _with_intervals(docs: DataFrame) -> DataFrame:
-    found = repeated_intervals(docs).groupBy("doc", "row").agg(F.collect_list("blob").alias("blobs"))
-    own = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("_doc"), F.xxhash64("text").alias("_row"))
-    joined = own.join(found, (F.col("_doc") == F.col("doc")) & (F.col("_row") == F.col("row")), "left")
-    return joined.select("doc_id", "text", "blobs")
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few, many = (min(1 << 20, max(least, -(-size // x))) for x in (ANCHOR_BYTES, SHARD_BYTES))
+    replies = packed.mapInArrow(_anchors(few), _SHIP).repartition(few, "shard").mapInArrow(_repeated, _REPLY)
+    # A slice's replies are bounded by the slice.
+    told = packed.join(replies.groupBy("slice").agg(F.collect_list("blob").alias("blobs")), "slice")
+    found = told.mapInArrow(_ship(many), _SHIP).repartition(many, "shard").mapInArrow(_search, _REPLY)
+    return packed.join(found.groupBy("slice").agg(F.collect_list("blob").alias("blobs")), "slice", "left")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words themselves, joined by single blanks."""
-    out = _with_intervals(docs).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
+    out = cut_slices(docs, slice_bytes).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("kept", F.decode("kept", "UTF-8"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = _with_intervals(table(spark, sf_dir, "documents"))
-    return joined.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return cut_slices(table(spark, sf_dir, "documents")).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -1,7 +1,6 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -71,49 +70,28 @@ def made_up():
     return rows
 
 
-@pytest.mark.parametrize("parts", [1, 6])
-def test_documents(spark, parts):
+@pytest.mark.parametrize(("parts", "slice_bytes"), [(1, 4 << 20), (6, 2000), (3, 20_000)])
+def test_documents(spark, parts, slice_bytes):
+    """Whole texts in one slice, and equal passages spread over many slices, against a scan of all windows."""
     rows = made_up()
     random.Random(parts).shuffle(rows)
     df = spark.createDataFrame([(a, b, "clash", "clash", "clash") for a, b in rows], SCHEMA).repartition(parts)
-    joined = substrings._with_intervals(df).mapInArrow(substrings._digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    got = sorted(map(tuple, joined.collect()), key=str)
+    found = substrings.cut_slices(df, slice_bytes)
+    got = sorted(map(tuple, found.mapInArrow(substrings._digest, "doc_id long, n_words long, n_removed long, kept_sha256 string").collect()), key=str)
     want = brute(rows)
     assert [g for g in got if g not in want][:3] == [] and got == want
-    texts = {r.doc_id: r.kept for r in substrings.without_repeats(df.where("doc_id < 1000")).collect()}
-    assert len(texts) == len({a for a, _ in rows if a is not None and a < 1000})
-
-
-def test_slices_of_one_input(spark, monkeypatch):
-    """Pieces of one text in several slices: run the two steps by hand, without Spark."""
-    import pyarrow as pa
-
-    rows = [r for r in made_up() if r[0] is not None]
-    shipped = []
-    for k in range(0, len(rows), 40):
-        part = rows[k : k + 40]
-        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part])], names=["doc_id", "text"])
-        shipped += list(substrings._ship(3)(iter([batch])))
-    gone = defaultdict(set)
-    whole = pa.Table.from_batches(shipped)
-    import xxhash
-
-    for shard in range(3):
-        own = whole.filter(pa.compute.equal(whole.column("shard"), shard)).combine_chunks().to_batches()
-        for out in substrings._search()(iter(own)):
-            for doc, row, blob in zip(*(out.column(i).to_pylist() for i in range(3))):
-                for start, n in np.frombuffer(blob, dtype="<i4").reshape(-1, 2).tolist():
-                    gone[doc, row] |= set(range(start, start + n))
-    signed = lambda h: h - ((h >> 63) << 64)
-    want = {}
-    for (doc, text), (_, _, n, _) in zip(sorted(rows, key=str), sorted(brute(rows), key=str)):
-        pass
-    for doc, n_words, n, _ in brute(rows):
-        want.setdefault(doc, []).append(n)
-    got = {}
-    for doc, text in rows:
-        got.setdefault(doc, []).append(len(gone.get((doc, signed(xxhash.xxh64_intdigest(text, 42)) if text is not None else 42), ())))
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_kept_words(spark):
+    rows = made_up()
+    df = spark.createDataFrame([(a, b, "clash", "clash", "clash") for a, b in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.without_repeats(df).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_neighbouring_windows_join():
+    piece, offset = np.array([0, 0, 0, 0, 2, 3]), np.array([0, 1, 2, 5, 6, 7])
+    assert [x.tolist() for x in substrings._joined(piece, offset)] == [[0, 0, 2, 3], [0, 5, 6, 7], [15, 13, 13, 13]]
 
 
 def test_empty(spark):

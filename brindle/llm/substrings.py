@@ -290,25 +290,37 @@ class FMIndex:
             self.levels.append(Bits(bits))
             self.zeros.append(int(n - bits.sum()))
             last = np.concatenate([last[bits == 0], last[bits == 1]])
+        self.starts = self._trace(np.arange(sigma), np.zeros(sigma, dtype=np.int64))
 
-    def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """How often c stands before i in the transform."""
-        low, high = np.zeros_like(i), i
+    def _trace(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Position i of the transform, followed through the levels of c."""
         for k, (bits, zeros) in enumerate(zip(self.levels, self.zeros)):
             one = (c >> (self.depth - 1 - k) & 1).astype(bool)
-            a, b = bits.rank(low), bits.rank(high)
-            low, high = np.where(one, zeros + a, low - a), np.where(one, zeros + b, high - b)
-        return high - low
+            b = bits.rank(i)
+            i = np.where(one, zeros + b, i - b)
+        return i
+
+    def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How often c stands before i in the transform."""
+        return self._trace(c, i) - self.starts[c]
+
+    def search(self, patterns: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Backward search of all rows at once: intervals of the suffix order (empty if there is no match).
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search of all rows at once: intervals of the suffix order (empty if there is no match)."""
-        c = patterns[:, -1]
+        A search ends early once its interval holds fewer than `least` suffixes, as intervals only shrink.
+        """
+        at, c = np.arange(len(patterns)), patterns[:, -1]
         low, high = self.first[c], self.first[c + 1]
+        lows, highs = low.copy(), high.copy()
         for k in range(patterns.shape[1] - 2, -1, -1):
-            c = patterns[:, k]
+            on = np.flatnonzero(high - low >= least)
+            at, low, high = at[on], low[on], high[on]
+            c = patterns[at, k]
             at_end = c == self.end
-            low, high = (self.first[c] + self.rank(c, i) + (at_end & (i <= self.whole)) for i in (low, high))
-        return low, np.maximum(low, high)
+            ranks = self.rank(np.concatenate([c, c]), np.concatenate([low, high]))
+            low, high = (self.first[c] + r + (at_end & (i <= self.whole)) for r, i in ((ranks[: len(c)], low), (ranks[len(c) :], high)))
+            lows[at], highs[at] = low, high
+        return lows, np.maximum(lows, highs)
 
 
 def earlier_windows(pieces: list[bytes], docs: np.ndarray, window: int = WINDOW, at_once: int = 1 << 18):
@@ -331,7 +343,8 @@ def earlier_windows(pieces: list[bytes], docs: np.ndarray, window: int = WINDOW,
     found = np.zeros(len(first), dtype=bool)
     for k in range(0, len(first), at_once):
         at = first[k : k + at_once] + offset[k : k + at_once]
-        low, high = index.search(flat[at[:, None] + np.arange(window)])
+        # A window finds itself; one that finds nothing else needs no further steps.
+        low, high = index.search(flat[at[:, None] + np.arange(window)], least=2)
         lows, back = np.unique(low, return_inverse=True)
         highs = np.zeros(len(lows), dtype=np.int64)
         highs[back] = high

@@ -1,7 +1,8 @@
 """Operator 7: personal data replaced by format-preserving pseudonyms. DataFrame functions only.
 
 One pattern finds e-mail addresses, IPv4 addresses, phone numbers, dates, national numbers (ddd-dd-dddd),
-card or account numbers (13 to 19 digits, blanks or hyphens between) and hexadecimal secrets. What it finds
+card or account numbers (13 to 19 digits in one, or in fours or as 4-6-5 with blanks or hyphens) and secrets:
+long hexadecimal words, keys with known beginnings, and values after names such as password. What it finds
 is validated: octets to 255, days that the calendar has, check digits. Numbers and dates go through a
 Feistel network keyed by `key`, on the numbers of their own format: digits stay digits and signs stay where
 they are; a card number with a right check digit gets one with a right check digit, one with a wrong digit
@@ -34,8 +35,12 @@ PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]
 DATE_ISO = r"(?<![0-9])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9])"
 DATE_DAY = r"(?<![0-9])(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2}(?![0-9])"
 NATIONAL = r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9A-Fa-f])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Fa-f])"
-SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])"
+CARD = r"(?<![0-9A-Fa-f])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9A-Fa-f])"
+#: A long hexadecimal word, or what follows a name such as password and = or :, quoted or not.
+NAMED = r"""(?<=[=:"']|[=:] )(?<=(?i:password|passwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}["']?)[^\s"']{6,}+"""
+#: Keys that tell themselves by how they begin.
+MARKED = r"(?:A(?:KI|SI)A[0-9A-Z]{16}|gh[oprsu]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,}+|eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]++)"
+SECRET = rf"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{{32,128}}|{MARKED})(?![0-9A-Za-z])|{NAMED}"
 KINDS = {"email": EMAIL, "secret": SECRET, "date": f"{DATE_ISO}|{DATE_DAY}", "ip": IP, "phone": PHONE, "national": NATIONAL, "card": CARD}
 PATTERN = "|".join(KINDS.values())
 #: Days from 1900-01-01 that the network permutes: 270 * 271.
@@ -116,9 +121,9 @@ def kind_of(m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     day = F.when(whole(DATE_ISO), F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.translate(m, "/", "."), "dd.MM.yyyy"))
     out = F.when(whole(KINDS["date"]), F.when(day.isNotNull(), "date"))
-    for name in ("email", "secret", "ip", "phone", "national", "card"):
+    for name in ("email", "ip", "phone", "national", "card"):
         out = out.when(whole(KINDS[name]), name)
-    return out
+    return out.otherwise("secret")  # a named secret shows only beside its name
 
 
 def pseudonym(m: Column, key: str = KEY) -> Column:
@@ -156,7 +161,7 @@ def _is(name: str):
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The rows with text replaced, and n_email, n_secret, n_date, n_ip, n_phone, n_national, n_card."""
-    found = F.when(F.col("text").rlike("[0-9@]|[0-9A-Fa-f]{32}"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    found = F.when(F.col("text").rlike("[0-9@]|[0-9A-Fa-f]{32}|A(?:KI|SI)A|gh[oprsu]_|sk-|eyJ|(?i:password|passwd|secret|token|api[_-]?key) {0,2}[=:]"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     wide = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
     kinds = wide.withColumn("_kinds", F.transform("_found", kind_of))
     text = F.when(F.size("_found") == 0, F.col("text")).otherwise(

@@ -209,13 +209,11 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; of rows with one id and equal texts, one."""
-    kept = (
-        exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.min("_row").alias("_row2"))
-        .select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), "_row2")
-    )
-    own = docs.withColumn("_row", F.xxhash64("text"))
-    same = (F.coalesce(own["doc_id"], F.lit(0)) == kept["_id"]) & (own["_row"] == kept["_row2"]) & (own["doc_id"].isNull() == kept["_null"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
+    kept = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.min("_row").alias("_row")).select(*keys, "_row")
+    own = docs.select(F.struct("*").alias("_doc"), *keys, F.xxhash64("text").alias("_row"))  # whatever else the columns are called
+    on = ["_id", "_null", "_row"]
+    return own.join(kept, on, "left_semi").dropDuplicates(on).select("_doc.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,16 +110,17 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     per = F.col("_taken") / F.col("_n")  # equal rows share what they take
     whole = F.when(F.col("_size") > 0, F.floor(per / F.col("_size"))).otherwise(F.lit(1)).cast("int")
     rest = F.when(F.col("_size") > 0, F.floor(per) - whole * F.col("_size")).otherwise(F.lit(0)).cast("int")
-    joined = docs.withColumn("_row", F.xxhash64("text")).alias("d").join(
+    own = docs.select(F.struct("*").alias("_doc"), "doc_id", "text", F.xxhash64("text").alias("_row"))  # whatever else the columns are called
+    joined = own.alias("d").join(
         taken.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_row2"), whole.alias("_whole"), rest.alias("_rest")),
         F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.col("d._row") == F.col("_row2")),
     )
     copies = F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0)
     rows = joined.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     cut = F.when(F.col("_copy") <= F.col("_whole"), text).otherwise(F.array_join(F.slice(split, 1, F.greatest(F.col("_rest"), F.lit(1))), " "))
-    out = rows.withColumn("_cut", cut)
-    n_chars = [F.length("_cut").cast("long").alias("n_chars")] if "n_chars" in docs.columns else []
-    return out.select(*[F.col("_cut").alias("text") if c == "text" else n_chars[0] if c == "n_chars" else F.col(f"d.{c}") for c in docs.columns])
+    out = rows.select("_doc", cut.alias("_cut"))
+    new = {"text": F.col("_cut"), "n_chars": F.length("_cut").cast("long")}
+    return out.select(*[(new[c] if c in new else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

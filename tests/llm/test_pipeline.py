@@ -1,0 +1,107 @@
+"""Each stage of the pipeline on what the one before left, against brute force; columns with clashing names."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from brindle.llm import quality
+
+from .test_mixing import water_fill
+from .test_packing import tokenizer
+from .test_simhash import brute_components, brute_print
+
+SF = "/root/testdata/sf0.001"
+CLASH = ["_row", "_id", "_doc", "_whole", "_copy", "_cut", "fp", "component_id", "score", "label", "entry", "target"]
+lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+words_of = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def folder(spark, where, rows):
+    """The documents and labels of the smallest scale, and more documents."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    docs.select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASH]).write.parquet(f"{where}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{where}/labels.parquet")
+    return str(where)
+
+
+def steps(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = [docs]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, out[-1], sf_dir).write.parquet(str(tmp_path / f"stage{i}"))
+        out.append(spark.read.parquet(str(tmp_path / f"stage{i}")))
+    return out
+
+
+def test_stages(spark, tmp_path):
+    good = next(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy(F.length("text").desc()).limit(1).collect())
+    rows = [
+        (900, good, None, None, 0), (901, good.upper(), "en", "src1", None), (902, good + " more", "en", None, 1), (903, None, None, "src0", None),
+        (904, "", "en", "src0", 0), (905, " \n ", "en", None, 3), (None, good + " of no id " * 40, "en", "src2", 1), (906, good * 30, "en", "new", 1),
+        (907, good, "en", "src1", 5), (908, "Ünïcode wörds " * 50, "de", "é", 5),
+    ]
+    sf_dir = folder(spark, tmp_path / "sf", rows)
+    tables = steps(spark, sf_dir, tmp_path)
+    read, kept, unique, distinct, mixed, packed = [t.collect() for t in tables]
+    assert all(t.columns == tables[0].columns for t in tables[:5])
+    for stage in (kept, unique, distinct, mixed):
+        assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in stage for c in CLASH)
+    # Quality: the model's score of each text by itself.
+    model = quality.learn(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")])
+    stays = lambda t: model.score(np.stack([quality.marks(None if t is None else t.encode())]))[0] >= 0.5
+    assert Counter(map(tuple, kept)) == Counter(tuple(r) for r in read if stays(r.text)) and 0 < len(kept) < len(read)
+    # Exact: the largest id of equal texts.
+    best = {}
+    for r in kept:
+        k = lower(r.text)
+        best[k] = max(best.get(k, -1), -1 if r.doc_id is None else r.doc_id)
+    assert Counter(map(tuple, unique)) == Counter(tuple(r) for r in kept if best[lower(r.text)] == (-1 if r.doc_id is None else r.doc_id))
+    # Near: the smallest id of each component.
+    last = (1 << 63) - 1
+    found = brute_components({last if r.doc_id is None else r.doc_id: brute_print(r.text) for r in unique})
+    assert Counter(map(tuple, distinct)) == Counter(tuple(r) for r in unique if found[k := last if r.doc_id is None else r.doc_id] == k)
+    # Mixing: targets met to a word; whole copies and at most one beginning for each document.
+    sizes, taken, copies = defaultdict(int), defaultdict(int), defaultdict(list)
+    for r in distinct:
+        sizes[r.source] += len(words_of(r.text))
+    for r in mixed:
+        taken[r.source] += len(words_of(r.text))
+        copies[r.doc_id].append(r.text)
+        assert r.n_chars == (None if r.text is None else len(r.text))
+    want = water_fill(sizes)
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
+    for r in distinct:
+        cut = [t for t in copies.pop(r.doc_id, []) if t != r.text]
+        assert len(cut) <= 1 and all(words_of(t) == words_of(r.text)[: len(words_of(t))] for t in cut)
+    assert not copies
+    # Packing: the pieces of each text, gapless.
+    tok, pieces = tokenizer(), Counter()
+    for r in mixed:
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        pieces.update((r.doc_id, k, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == pieces
+    at = defaultdict(list)
+    for r in packed:
+        at[r.sequence_id].append((r.offset, r.length))
+    for x in at.values():
+        x.sort()
+        assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:])) and sum(x[-1]) <= 2048
+    whole = corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert Counter(map(tuple, whole)) == pieces
+
+
+@pytest.mark.parametrize("what", ["documents", "labels"])
+def test_empty_tables(spark, tmp_path, what):
+    sf_dir = folder(spark, tmp_path / "sf", [(900, None, None, None, None)])
+    empty = spark.read.parquet(f"{sf_dir}/{what}.parquet").limit(0)
+    empty.write.parquet(str(tmp_path / "sf2" / f"{what}.parquet"))
+    other = {"documents": "labels", "labels": "documents"}[what]
+    spark.read.parquet(f"{sf_dir}/{other}.parquet").write.parquet(str(tmp_path / "sf2" / f"{other}.parquet"))
+    n = corpus_pipeline.run(spark, str(tmp_path / "sf2")).count()
+    assert (n == 0) == (what == "documents")  # without labels nothing is rejected

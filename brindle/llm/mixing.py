@@ -105,12 +105,12 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = SEED, **how)
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as often as it is taken; a part taken is its first words, space-joined."""
     taken = mix(docs, **how).groupBy("doc_id", "_row").agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_n"))
-    text = F.col("text")
+    text = F.col("_doc").getField("text")
     split = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     per = F.col("_taken") / F.col("_n")  # equal rows share what they take
     whole = F.when(F.col("_size") > 0, F.floor(per / F.col("_size"))).otherwise(F.lit(1)).cast("int")
     rest = F.when(F.col("_size") > 0, F.floor(per) - whole * F.col("_size")).otherwise(F.lit(0)).cast("int")
-    own = docs.select(F.struct("*").alias("_doc"), "doc_id", "text", F.xxhash64("text").alias("_row"))  # whatever else the columns are called
+    own = docs.select(F.struct("*").alias("_doc"), "doc_id", F.xxhash64("text").alias("_row"))  # whatever else the columns are called
     joined = own.alias("d").join(
         taken.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_row2"), whole.alias("_whole"), rest.alias("_rest")),
         F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.col("d._row") == F.col("_row2")),

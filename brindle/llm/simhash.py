@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Kept, raw, slices, table
 from .components import components
+from .shingles import one_of_each  # noqa: F401
 
 WORDS, BITS, SEED = 3, 3, 42
 #: Fingerprints in a cell beyond which it is split, and a block's when nothing else splits it.
@@ -177,12 +178,6 @@ def near_components(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, with all its columns."""
-    stay = near_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
-
-
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import exact, mixing, packing, quality, simhash
+from brindle.llm import exact, mixing, packing, quality, shingles
 from brindle.llm.common import Kept, table
 
 
@@ -24,8 +24,8 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the one with the smallest id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the one with the smallest id stays."""
+    return shingles.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

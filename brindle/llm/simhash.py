@@ -169,10 +169,12 @@ def near_components(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed:
     prints = Kept(docs.select("doc_id", "text").mapInArrow(_fingerprints(words, seed), "doc_id long, fp long"), "prints").df
     last = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     reps = Kept(prints.groupBy("fp").agg(F.min(last).alias("rep")), "reps").df
-    found = components(near_links(reps, bits))
-    named = reps.join(found, reps["rep"] == found["node"], "left").select(
-        F.col("fp").alias("fp2"), F.coalesce("component", "rep").alias("component_id")
-    )
+    # Nodes are fingerprints: ids can be null or repeated.
+    found = components(near_links(reps.select("fp", F.col("fp").alias("rep")), bits))
+    named = reps.join(found, reps["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
+    named = Kept(named, "named").df
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id")).withColumnRenamed("c", "c2")
+    named = named.join(least, F.col("c") == F.col("c2")).select(F.col("fp").alias("fp2"), "component_id")
     return prints.join(named, F.col("fp") == F.col("fp2")).select(
         "doc_id", "fp", F.nullif(F.col("component_id"), F.lit((1 << 63) - 1)).alias("component_id")
     )

@@ -85,3 +85,17 @@ def test_long_path_of_links(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5000, 5000), (7000, 6000), (6000, 7000)], "a long, b long")
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {6000: 6000, 7000: 6000}
+
+
+def test_unrelated_texts_without_or_with_one_id(spark):
+    near = random_text(random.Random(2), 400)
+    other, third = (random_text(random.Random(k), 400) for k in (3, 4))
+    rows = [(7, near), (None, near + " " + near), (None, other), (9, third), (9, other + " x" * 40)]
+    prints = {k: brute_print(t) for k, (_, t) in enumerate(rows)}
+    found = brute_components(prints)
+    last = (1 << 63) - 1
+    least = {c: min(last if rows[k][0] is None else rows[k][0] for k in rows_of) for c in set(found.values()) if (rows_of := [k for k in found if found[k] == c])}
+    df = spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)
+    got = sorted(((r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_components(df).collect()), key=str)
+    assert found[0] == found[1] != found[2]
+    assert got == sorted(((prints[k], None if least[found[k]] == last else least[found[k]]) for k in prints), key=str)

@@ -14,7 +14,8 @@ Sections here are paragraphs: a line with the line feed that ends it. Spans are
 Defined results: a null or empty text has one section, number 0, from 0 to 0, with no tokens; a null doc_id
 stays null; equal rows give equal rows; an empty table gives an empty result; other columns are not read.
 A text that the encoder cannot take whole (its matcher's limit) is the only one encoded in parts, cut
-before a blank that follows a non-blank, where the pattern always parts.
+before a blank that follows a non-blank, where the pattern always parts. Where there is none, the longest run of
+blanks is matched by hand: all of it at the text's end, else all but its last blank, are one piece.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 RULES = ("most", "first", "last")
 COUNTS = "doc_id long, section int, start long, end long, tokens long"
 _CUT = re.compile(r"(?<=\S)(?= )")
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")  # the encoder's blanks
 
 
 class Encoder:
@@ -53,7 +55,11 @@ class Encoder:
         except BaseException:  # the matcher's limit comes as a panic
             cuts = [m.start() for m in _CUT.finditer(text)]
             if not cuts:
-                raise
+                run = max(_RUN.finditer(text), key=lambda m: m.end() - m.start(), default=None)
+                if run is None:
+                    raise
+                start, end = run.start(), run.end() - (run.end() < len(text))
+                return self.ids(text[:start]) + self.encoding._encode_single_piece(text[start:end]) + self.ids(text[end:])
             at = min(cuts, key=lambda c: abs(c - len(text) // 2))
             return self.ids(text[:at]) + self.ids(text[at:])
 

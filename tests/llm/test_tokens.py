@@ -85,3 +85,27 @@ def test_long_texts(text):
 
 def test_empty(spark):
     assert tokens.token_counts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("blank", ["\n", " ", "\u3000"])
+@pytest.mark.parametrize("before, after", [("a", "b"), ("", "b"), ("a", ""), ("", "")])
+def test_long_runs_of_blanks(blank, before, after):
+    encoder = tokens.Encoder()
+    long = before + blank * 1_500_000 + after
+    ids = encoder.ids(long)
+    assert encoder.encoding.decode(ids) == long
+    # By hand as by the matcher, on a run that the matcher takes.
+    short, whole = before + blank * 3001 + after, encoder.encoding
+
+    class Refusing:
+        _encode_single_piece = staticmethod(whole._encode_single_piece)
+
+        @staticmethod
+        def encode_ordinary(text):
+            if len(text) > 3000:
+                raise RuntimeError("refused")
+            return whole.encode_ordinary(text)
+
+    expected = encoder.ids(short)
+    encoder.encoding = Refusing
+    assert encoder.ids(short) == expected

@@ -15,4 +15,4 @@ QUERIES = {
     "op10_quality": quality.op10,
 }
 
-SQL = {"op2_exact_dedup": exact.SQL, "op3_top_products": pivots.SQL}
+SQL = {"op2_exact_dedup": exact.SQL, "op3_top_products": pivots.SQL, "op6_substring_dedup": substrings.SQL}

@@ -33,17 +33,47 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def test_backward_search_against_scan():
-    rng = random.Random(4)
-    text = np.array([rng.randrange(5) for _ in range(400)] + [0])
+def longest(text, pattern, most):
+    """How many numbers from each place of pattern on are somewhere in text, at most so many."""
+    runs = {tuple(text[i : i + n]) for n in range(1, most + 1) for i in range(len(text) - n + 1)}
+    out = []
+    for i in range(len(pattern)):
+        n = 0
+        while n < most and i + n < len(pattern) and tuple(pattern[i : i + n + 1]) in runs:
+            n += 1
+        out.append(n)
+    return out
+
+
+@pytest.mark.parametrize("words", [2, 5, 90])
+def test_matching_statistics_against_scan(words):
+    """Texts of the index, other texts and numbers that the index does not have; intervals hold as many rows as there are matches."""
+    rng = random.Random(words)
+    parts = [[rng.randrange(1, words + 1) for _ in range(rng.randrange(1, 60))] for _ in range(30)]
+    text = np.array([x for p in parts for x in (*p, 0)])
     index = substrings.FMIndex(text)
-    assert sorted(index.order.tolist()) == list(range(401))
-    for n in (1, 2, 5, 13):
-        patterns = np.array([text[i : i + n] for i in rng.sample(range(380), 60)] + [[rng.randrange(5) for _ in range(n)] for _ in range(60)])
-        low, high = index.search(patterns)
-        for p, lo, hi in zip(patterns, low, high):
-            want = sorted(i for i in range(401 - n + 1) if (text[i : i + n] == p).all())
-            assert sorted(index.order[lo:hi].tolist()) == want
+    asked = [*parts, *([rng.randrange(0, words + 3) for _ in range(rng.randrange(1, 80))] for _ in range(30))]
+    flat = np.array([x for p in asked for x in p])
+    lengths = np.array(list(map(len, asked)))
+    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    found, low, high = index.matching_statistics(flat, starts, lengths)
+    inside = [x for p in parts for x in (*p, 0)]
+    for p, s in zip(asked, starts.tolist()):
+        want = longest(inside, p, 13)
+        want = [min(n, p[i:].index(0)) if 0 in p[i : i + n] else n for i, n in enumerate(want)]  # no match goes over a 0
+        assert found[s : s + len(p)].tolist() == want
+        for i, n in enumerate(want):
+            if n:
+                assert high[s + i] - low[s + i] == sum(inside[k : k + n] == p[i : i + n] for k in range(len(inside)))
+
+
+def test_bits():
+    rng = np.random.default_rng(3)
+    bits = rng.random(1000) < 0.1
+    held = substrings.Bits(bits)
+    ones = np.flatnonzero(bits)
+    assert held.select(np.arange(1, len(ones) + 1)).tolist() == ones.tolist()
+    assert held.rank(np.arange(1001)).tolist() == np.concatenate([[0], np.cumsum(bits)]).tolist()
 
 
 def made_up():
@@ -89,9 +119,23 @@ def test_kept_words(spark):
     assert got == brute(rows)
 
 
-def test_neighbouring_windows_join():
-    piece, offset = np.array([0, 0, 0, 0, 2, 3]), np.array([0, 1, 2, 5, 6, 7])
-    assert [x.tolist() for x in substrings._joined(piece, offset)] == [[0, 0, 2, 3], [0, 5, 6, 7], [15, 13, 13, 13]]
+def test_one_phrase_in_many_documents(spark):
+    """A hot anchor: its windows go to shards of their own; small shards, so that it would not fit one."""
+    rng = random.Random(9)
+    phrase = [f"p{i}" for i in range(11)]
+    word = lambda: f"w{rng.randrange(40)}"
+    rows = [(i, " ".join([word() for _ in range(3)] + phrase + [word() for _ in range(3)])) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    for hot in (1, 100, 10**9):
+        found = substrings.cut_slices(df, 20_000, shard_bytes=50_000, hot=hot)
+        got = sorted(map(tuple, found.mapInArrow(substrings._digest, "doc_id long, n_words long, n_removed long, kept_sha256 string").collect()), key=str)
+        assert got == want and sum(g[2] for g in got) > 1000
+
+
+def test_windows_with_one_doc_join():
+    piece, offset, doc = np.array([0, 0, 0, 0, 0, 2, 3]), np.array([0, 1, 2, 3, 5, 6, 7]), np.array([4, 4, 4, 5, 5, 5, 5])
+    assert [x.tolist() for x in substrings._runs(piece, offset, doc)] == [[0, 0, 0, 2, 3], [0, 3, 5, 6, 7], [3, 1, 1, 1, 1], [4, 5, 5, 5, 5]]
 
 
 def test_empty(spark):

@@ -15,22 +15,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only in local mode, where one machine does all."""
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
     if where := spark.sparkContext.getCheckpointDir():
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 class Kept:
-    """A table written to the shared folder: it cuts lineage and survives lost executors."""
+    """A table written to the shared folder: it cuts lineage and survives lost executors. `by`: a folder for each value."""
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, by: list[str] | None = None, **options: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/brindle-{uuid.uuid4().hex}-{label}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        writer = df.write.option("compression", "zstd").options(**options)
+        (writer.partitionBy(*by) if by else writer).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

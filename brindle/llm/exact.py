@@ -3,35 +3,44 @@
 1. Each input task hashes its lower-cased texts (A-Z only) and chains rows whose hash collides; rows whose
    bytes are the same become one entry (text, its ids' largest, their number), so a text that a third of
    all rows hold leaves a task once. Entries and the (id, entry) members are files in the shared folder.
-2. The directory starts with one bucket and doubles until no bucket holds more entries or bytes than its
-   capacity, or only entries of one hash, which no doubling parts. It comes from counts by hash prefix.
-   Prefixes are refined only below overfull buckets, so it is as large as the index has buckets.
-3. Owner tasks each take a range of buckets, chain entries of one hash and compare bytes. Members join
-   their entry's verdict by the entry's number.
-
-Defined results: null counts as the empty text; equal rows (one id twice) each give a row; a null id is
-smaller than any other; an empty table gives an empty result; other columns are not read.
+2. The directory has 2 ** depth slots, a slot for each prefix of the hash. It begins with as many as the entries'
+   bytes ask for; then every overfull bucket is split by one more bit, which doubles the directory, until no
+   bucket holds more than its capacity or only entries of one hash. Buckets are a table in the shared folder.
+   Only overfull ones are counted again, and only sizes are read; the driver sees how many there are.
+3. The directory names each entry's bucket, and each bucket becomes a file in the shared folder, in order of hash.
+   The writers each take a range of slots.
+4. Owner tasks read whole bucket files, each of them a range of hashes that no other task has: a file is one
+   row group, which Spark never parts. An owner chains entries of one hash and compares bytes, with one chain
+   in memory. A bucket that holds more than its capacity of one hash (copies from very many input tasks) streams
+   through one owner. Members join their entry's verdict by the entry's number.
+
+Defined results: null counts as the empty text; equal rows (one id twice) each give a row, and where the largest id
+of a text has several rows they are all kept; a null id is smaller than any other; an empty table gives an empty
+result; other columns are not read. A text of any length is one entry, compared whole; one above the capacity
+has a bucket of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Kept, raw, slices, table
 
 #: What a bucket holds at most, unless all its entries have one hash.
-BUCKET_BYTES = 16 << 20
-#: Bits by which an overfull bucket's prefix grows at a time.
-STEP = 6
-#: Bytes of texts that an input task chains before it lets its entries go.
-CHAIN_BYTES = 48 << 20
+BUCKET_BYTES = 32 << 20
+#: Counted for each entry besides its text; a bucket stays below 2 ** 20 entries, which one row group may hold.
+OVERHEAD = 72
+#: Tasks that write buckets at most; each takes a range of the directory's slots.
+WRITERS = 1 << 16
+#: Bytes of texts, and rows, that an input task chains before it lets its entries go.
+CHAIN_BYTES, CHAIN_ROWS = 32 << 20, 100_000
 
 ENTRY = "kind int, entry long, id long, n long, hash long, text binary, sha string"
 
@@ -95,52 +104,63 @@ def _entries(batches):
                 chain.append(x)
                 held += len(text) + 400
             members.append((doc, x[0], x[5], as_it_is))
-        if held > CHAIN_BYTES:
+        if held > CHAIN_BYTES or len(members) > CHAIN_ROWS:
             yield from flush(chains, members)
             chains, members, held = {}, [], 0
     if members:
         yield from flush(chains, members)
 
 
+def _prefix(depth: int) -> Column:
+    return F.shiftrightunsigned("hash", 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def _ordered(hash_: Column) -> Column:
+    """Signed numbers in the order of the unsigned hashes."""
+    return hash_.bitwiseXOR(F.lit(-(1 << 63)))
+
+
 class Directory:
-    """Buckets as sorted first hashes (unsigned): bucket of h = the last start at or below it."""
-
-    def __init__(self, starts: list[int]):
-        self.starts = np.array(sorted(starts), dtype=np.uint64)
-
-    def bucket(self, hashes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, hashes.astype(np.int64).view(np.uint64), side="right") - 1
-
-
-def build_directory(entries: DataFrame, capacity: int = BUCKET_BYTES) -> Directory:
-    """Doubles until each bucket fits, counting by prefix only where a bucket is overfull.
-
-    A round brings at most 2 ** STEP counts for each overfull bucket to the driver; overfull buckets are
-    fewer than bytes / capacity, so this is as small as the directory itself, whatever the skew.
-    """
-    unsigned = lambda bits: F.shiftrightunsigned("hash", 64 - bits)
-    total = entries.agg(F.sum(F.length("text")), F.count("*")).first()
-    if not total[1] or (total[0] or 0) <= capacity:
-        return Directory([0])
-    depth = min(24, max(STEP, (total[0] // capacity).bit_length()))
-    starts: list[int] = []
-    over: list[int] | None = None
-    while True:
-        part = entries.select(unsigned(depth).alias("p"), "hash", F.length("text").alias("b"))
-        if over is not None:
-            wanted = entries.sparkSession.createDataFrame([(p,) for p in over], "q long")
-            part = part.join(F.broadcast(wanted), F.shiftrightunsigned("p", STEP) == F.col("q"), "left_semi")
-        found = part.groupBy("p").agg(F.sum("b").alias("b"), F.min("hash").alias("lo"), F.max("hash").alias("hi")).collect()
-        if over is None:
-            starts.append(0)
-        over = []
-        for r in found:
-            starts.append(r.p << (64 - depth))
-            if r.b > capacity and r.lo != r.hi:
-                over.append(r.p)
-        if not over or depth + STEP > 63:
-            return Directory(sorted(set(starts)))
-        depth += STEP
+    """`slots` bits name a slot at first and `depth` after all splits; buckets: first hash, depth, bytes, whether of one hash."""
+
+    def __init__(self, entries: DataFrame, capacity: int):
+        total = entries.agg(F.sum(_size())).first()[0] or 0
+        self.slots = self.depth = max(0, -(-total // capacity) - 1).bit_length()
+        left = entries.select("hash", _size().alias("size"))
+        found = []
+        while True:
+            p = _prefix(self.depth).alias("p")
+            held = left.groupBy(p).agg(F.sum("size").alias("bytes"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+            start = F.shiftleft("p", 64 - self.depth) if self.depth else F.lit(0).cast("long")
+            held = held.select("p", start.alias("start"), F.lit(self.depth).alias("depth"), "bytes", (F.col("lo") == F.col("hi")).alias("one"))
+            held = Kept(held.withColumn("over", F.col("bytes") > capacity), "buckets").df
+            found.append(held.where("one or not over"))
+            full = held.where("over and not one").select(F.col("p").alias("q"))
+            if full.isEmpty():
+                break
+            left = left.join(full, _prefix(self.depth) == F.col("q"), "left_semi")
+            self.depth += 1
+        self.buckets = reduce(DataFrame.union, found).select("start", "depth", "bytes", "one", (F.col("one") & F.col("over")).alias("streams"))
+
+    def named(self, entries: DataFrame) -> DataFrame:
+        """The entries with slot, bucket (its first hash) and whether it streams."""
+        slot = _prefix(self.slots)
+        of = F.shiftrightunsigned("start", 64 - self.slots) if self.slots else F.lit(0).cast("long")
+        # Slots that are one bucket need no row, so this table is small where few were split; Spark joins by its size.
+        leaves = self.buckets.where((F.col("depth") > self.slots) | F.col("streams")).groupBy(of.alias("_slot"))
+        leaves = Kept(leaves.agg(F.collect_list(F.struct(_ordered(F.col("start")).alias("at"), "streams")).alias("leaves")), "splits").df
+        mine = F.array_max(F.filter("leaves", lambda x: x["at"] <= _ordered(F.col("hash"))))
+        whole = F.shiftleft(slot, 64 - self.slots) if self.slots else F.lit(0).cast("long")
+        return (
+            entries.withColumn("slot", slot)
+            .join(leaves, F.col("slot") == F.col("_slot"), "left")
+            .withColumn("bucket", F.when(F.col("leaves").isNull(), whole).otherwise(_ordered(mine["at"])))
+            .withColumn("streams", F.coalesce(mine["streams"], F.lit(False)))
+        )
+
+
+def _size() -> Column:
+    return F.length("text") + OVERHEAD
 
 
 def _merge(batches):
@@ -177,25 +197,26 @@ def _merge(batches):
         yield verdicts()
 
 
+def write_buckets(entries: DataFrame, directory: Directory, capacity: int) -> DataFrame:
+    """A file for each bucket in the shared folder, in order of hash, as one row group."""
+    writers = min(1 << directory.slots, WRITERS)
+    range_of = F.shiftright("slot", directory.slots - (writers.bit_length() - 1)).cast("int")
+    cols = ["hash", "entry", "id", "n", "text", "streams", "bucket"]
+    named = directory.named(entries).repartitionById(writers, range_of).select(*cols).sortWithinPartitions("streams", "bucket", "hash")
+    return Kept(named, "bucket-files", by=["streams", "bucket"], **{"parquet.block.size": str(max(16 * capacity, 1 << 20))}).df
+
+
 def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and _row, xxhash64 of the text as it is."""
     index = Kept(docs.select("doc_id", "text").mapInArrow(_entries, ENTRY), "exact-index")
-    entries = index.df.where("kind = 0")
-    starts = build_directory(entries, capacity).starts
-
-    @F.pandas_udf("int")
-    def bucket(h):
-        import pandas as pd
-
-        return pd.Series(Directory(starts).bucket(h.to_numpy()).astype(np.int32))
-
-    owned = (
-        entries.select("hash", "entry", "id", "n", "text", bucket("hash").alias("bucket"))
-        .repartition("bucket")
-        .sortWithinPartitions("hash")
-        .select("hash", "entry", "id", "n", "text")
-    )
-    verdicts = owned.mapInArrow(_merge, "entry long, keep_id long, group_size long")
+    entries = index.df.where("kind = 0").select("hash", "entry", "id", "n", "text")
+    buckets = write_buckets(entries, Directory(entries, capacity), capacity)
+    verdict = "entry long, keep_id long, group_size long"
+    cols = ["hash", "entry", "id", "n", "text"]
+    verdicts = buckets.where("not streams").select(*cols).mapInArrow(_merge, verdict)
+    long = buckets.where("streams")
+    if not long.isEmpty():
+        verdicts = verdicts.union(long.repartition("bucket").sortWithinPartitions("hash").select(*cols).mapInArrow(_merge, verdict))
     members = index.df.where("kind = 1").select("id", "entry", "sha", "hash")
     return members.join(verdicts, "entry").select(
         F.col("id").alias("doc_id"),
@@ -207,13 +228,27 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     )
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     """The documents that stay, with all their columns; of rows with one id and equal texts, one."""
-    keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
-    kept = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.min("_row").alias("_row")).select(*keys, "_row")
-    own = docs.select(F.struct("*").alias("_doc"), *keys, F.xxhash64("text").alias("_row"))  # whatever else the columns are called
-    on = ["_id", "_null", "_row"]
-    return own.join(kept, on, "left_semi").dropDuplicates(on).select("_doc.*")
+    found = exact_groups(docs, capacity).select(F.col("doc_id").alias("_id"), "_row", "kept", F.unhex("text_sha256").alias("sha"))
+    found = Kept(found, "verdicts").df
+    several = found.where("kept").groupBy("_id", "sha").agg(F.min("_row").alias("_row"), F.count("*").alias("n")).where("n > 1")
+    several = Kept(several, "several").df
+    gone = found.where("not kept").select("_id", "_row")
+    again = None
+    same = lambda d: docs["doc_id"].eqNullSafe(d["_id"]) & (F.xxhash64(docs["text"]) == d["_row"])
+    if not several.isEmpty():
+        # Rows that share id and text: all of them leave the first part, one of them makes the second.
+        rows = several.select(F.col("_id").alias("i2"), F.col("sha").alias("s2"))
+        rows = found.where("kept").join(rows, F.col("_id").eqNullSafe(F.col("i2")) & (F.col("sha") == F.col("s2"))).select("_id", "_row")
+        gone = gone.union(rows)
+        own = docs.join(several, same(several), "left_semi")
+        whole = own.select(F.struct(*[own[c] for c in own.columns]).alias("_doc"), own["doc_id"].alias("_id"), F.xxhash64(own["text"]).alias("_row"))
+        again = whole.dropDuplicates(["_id", "_row"]).select("_doc.*")
+    # Kept, so that its size is known: documents are shuffled only where those that go are many.
+    gone = Kept(gone.distinct(), "gone").df
+    stay = docs.join(gone, same(gone), "left_anti")
+    return stay.union(again) if again is not None else stay
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import exact
 
@@ -25,8 +26,17 @@ ROWS = [
 ] + [(100 + i, "hot copy") for i in range(3000)]
 
 
-@pytest.mark.parametrize("capacity", [exact.BUCKET_BYTES, 64])
-def test_groups(spark, capacity):
+@pytest.mark.parametrize("capacity", [exact.BUCKET_BYTES, 300_000, 200])
+def test_groups(spark, capacity, monkeypatch):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")  # far smaller than a bucket's file
+    monkeypatch.setattr(exact, "CHAIN_ROWS", 40)  # a hot copy comes from many flushes, so its bucket streams
+    try:
+        groups(spark, capacity)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def groups(spark, capacity):
     df = spark.createDataFrame([(i, t, None, None, None, "clash", 1) for i, t in ROWS], SCHEMA).repartition(5)
     got = exact.exact_groups(df, capacity).drop("_row").collect()
     assert sorted(map(tuple, got), key=str) == brute(ROWS)
@@ -40,6 +50,35 @@ def test_kept_rows(spark):
     assert len(texts) == len(set(texts)) == len({(t or "").encode().lower() for _, t in ROWS})
 
 
+def test_splits_double_the_directory(spark):
+    """Every bucket is within its capacity or of one hash, and a split doubles the directory that knew it as one."""
+    rows = [(i, f"text {i} " + "x" * (i % 50)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    entries = docs.mapInArrow(exact._entries, exact.ENTRY).where("kind = 0").select("hash", "entry", "id", "n", "text")
+    total = sum(len(t) + exact.OVERHEAD for _, t in rows)
+    capacity = -(-total // 32)
+    small, large = exact.Directory(entries, capacity), exact.Directory(entries, 1 << 30)
+    assert (large.slots, large.depth, large.buckets.count()) == (0, 0, 1)
+    assert small.slots == 5 and small.depth > small.slots
+    buckets = small.buckets.collect()
+    assert max(b.bytes for b in buckets) <= capacity and {b.depth for b in buckets} > {small.slots}
+    named = small.named(entries).select("hash", "bucket").collect()
+    known = {b.start % 2**64: b.depth for b in buckets}
+    for r in named:
+        start, h = r.bucket % 2**64, r.hash % 2**64
+        assert start <= h < start + (1 << (64 - known[start]))
+    files = exact.write_buckets(entries, small, capacity)
+    assert files.select("bucket", F.input_file_name()).distinct().groupBy("bucket").count().where("count > 1").count() == 0
+    assert files.select("bucket").distinct().count() == len(buckets) and files.count() == 4000
+
+
+def test_a_full_bucket_of_one_hash_streams(spark, monkeypatch):
+    monkeypatch.setattr(exact, "CHAIN_ROWS", 10)
+    docs = spark.createDataFrame([(i, "one text of very many rows") for i in range(5000)], "doc_id long, text string").repartition(4)
+    (r,) = exact.exact_groups(docs, 300).select("keep_id", "group_size").distinct().collect()
+    assert tuple(r) == (4999, 5000)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert exact.exact_groups(df).count() == 0 and exact.kept_documents(df).count() == 0

@@ -1,25 +1,29 @@
 """Operator 10: a quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-A document is a bag of marks: trigrams of character classes with runs collapsed (lower, upper, digit, space,
-line end, each sign for itself), runs of one class by length, words that repeat the one before, lines that
-were there before, and how many different words there are. Counts are damped, weighted by inverse document
-frequency and projected by a truncated SVD; all of that is learned from a bounded sample of labelled rows of
-the learning folds: at most SAMPLE for each label, those with the smallest hash of the id. The labelled
-vectors (2 * SAMPLE * DIMS numbers: 512 kB) are broadcast. Every document's cosine with every labelled
+A document is a bag of terms and marks, all hashed into FEATURES places: its words in lower case (ASCII) and the
+4-grams of its bytes; trigrams of character classes with runs collapsed (lower, upper, digit, space, line end, each
+sign for itself) and runs of one class by length; and three counters over the whole text: words that repeat the one
+before, lines that were there before, and how many different words there are. Counts are damped, weighted by inverse
+document frequency and projected by a truncated SVD; all of that is learned from a bounded sample of labelled rows
+of the learning folds: at most SAMPLE for each label, those with the smallest hash of the id. The labelled
+vectors (2 * SAMPLE * DIMS numbers: 1 MB) are broadcast. Every document's cosine with every labelled
 vector is one block product; the K nearest vote with weight cosine ** POWER. Nothing but the text is an
 input of a score.
 
 Defined results: a null text scores as an empty one; without any label to learn from scores are 0.5, with
-one label only they are that label; labels with null doc_id or null label teach nothing, and of several
-labels of one doc_id the smallest does; a null doc_id is not held out; equal rows score alike; an empty
-table gives an empty result; other columns are not read.
+one label only they are that label; neighbours as near as the K-th (to 9 digits) all vote, so neither the order of
+labelled rows nor that of documents matters, and equal texts score alike; labels with null doc_id or null label
+teach nothing, and of several labels of one doc_id the smallest does; of several documents with one doc_id the text
+with the smallest hash teaches; a null doc_id is not held out; an empty table gives an empty result; other columns
+are not read. A text of any length is counted whole, a chunk at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fold, raw, slices, table
@@ -31,7 +35,9 @@ POWER = 8
 FEATURES = 4096
 #: Bytes of a text whose marks are counted at a time; counts add up over the whole text.
 _CHUNK = 1 << 20
-_EXTRA = 64
+#: Places of class trigrams, words and byte 4-grams; the rest are for runs and counters.
+_TRI, _WORDS, _GRAMS = 2048, 960, 1024
+_EXTRA = FEATURES - _TRI - _WORDS - _GRAMS
 
 
 def _classes() -> np.ndarray:
@@ -49,17 +55,56 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_ODD = 0x2545F4914F6CDD1D
+_POWERS = np.multiply.accumulate(np.append(np.uint64(1), np.full(_CHUNK, np.uint64(_ODD), dtype=np.uint64)))
+_INVERSES = np.multiply.accumulate(np.append(np.uint64(1), np.full(_CHUNK, np.uint64(pow(_ODD, -1, 1 << 64)), dtype=np.uint64)))
+
+
+def _place(h: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of 64 bits -> places below size."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
+
+
+def _chunks(text: bytes):
+    """Parts of at most _CHUNK bytes, cut behind white space where there is some."""
+    start = 0
+    while start < len(text):
+        end = min(len(text), start + _CHUNK)
+        if end < len(text):
+            cut = max(text.rfind(b, start, end) for b in (b" ", b"\n"))
+            end = cut + 1 if cut >= start else end
+        yield np.frombuffer(text, dtype=np.uint8, offset=start, count=end - start)
+        start = end
+
+
+def _terms(a: np.ndarray, out: np.ndarray) -> None:
+    """Words and 4-grams of bytes, added to out."""
+    low = _LOWER[a]
+    blank = (a == 32) | ((a >= 9) & (a <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+    s, e = edge[::2], edge[1::2]
+    h = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((low + np.uint64(1)) * _POWERS[: len(low)])])
+    out[_TRI : _TRI + _WORDS] += np.bincount(_place((h[e] - h[s]) * _INVERSES[s], _WORDS), minlength=_WORDS)
+    if len(a) >= 4:
+        g = low[:-3] | low[1:-2] << np.uint64(8) | low[2:-1] << np.uint64(16) | low[3:] << np.uint64(24)
+        out[_TRI + _WORDS : _TRI + _WORDS + _GRAMS] += np.bincount(_place(g, _GRAMS), minlength=_GRAMS)
+
+
 def marks(text: bytes | None) -> np.ndarray:
-    """Counts of the marks of one text, FEATURES numbers."""
+    """Counts of the terms and marks of one text, FEATURES numbers."""
     text = text or b""
     out = np.zeros(FEATURES, dtype=np.float32)
     room = FEATURES - _EXTRA
-    for k in range(0, len(text), _CHUNK):
-        c = _CLASS[np.frombuffer(text, dtype=np.uint8, offset=k, count=min(_CHUNK, len(text) - k))]
+    for a in _chunks(text):
+        _terms(a, out)
+        c = _CLASS[a]
         at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         r = np.concatenate([[4], c[at], [4]])
         grams = ((r[:-2] * 41 + r[1:-1]) * 41 + r[2:]) * 2654435761
-        out[:room] += np.bincount((grams >> 7) % room, minlength=room)
+        out[:_TRI] += np.bincount((grams >> 7) % _TRI, minlength=_TRI)
         runs = np.minimum(np.diff(np.append(at, len(c))), 15)
         long = runs[(c[at] > 0) & (runs > 1)]
         out[room : room + 16] += np.bincount(long, minlength=16)
@@ -80,11 +125,18 @@ def marks(text: bytes | None) -> np.ndarray:
     return out
 
 
+#: The counters' places, for those who want to see what the terms do without them.
+COUNTERS = slice(FEATURES - _EXTRA + 16, FEATURES)
+
+
 class Model:
     """Learned weights, projection, and the labelled vectors that vote."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, dims: int = DIMS, k: int = K, power: int = POWER):
-        self.labels, self.k, self.power = labels.astype(np.float32), k, power
+        # One order for the sample, however its rows came.
+        order = np.lexsort((np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in counts], dtype=np.uint64), labels))
+        counts, labels = counts[order], labels[order]
+        self.labels, self.k, self.power = labels.astype(np.float64), k, power
         damped = self._damp(counts)
         self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
         weighted = self._unit(damped * self.idf)
@@ -97,8 +149,8 @@ class Model:
 
     @staticmethod
     def _damp(counts: np.ndarray) -> np.ndarray:
-        share = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
-        return np.sqrt(share).astype(np.float32)
+        share = counts / np.maximum(1, counts.sum(axis=1, keepdims=True), dtype=np.float32)
+        return np.sqrt(share, out=share)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -108,11 +160,11 @@ class Model:
         if len(self.labels) == 0:
             return np.full(len(counts), 0.5)
         x = self._unit(self._unit(self._damp(counts) * self.idf) @ self.project)
-        near = x @ self.vectors.T
+        near = np.round(x.astype(np.float64) @ self.vectors.astype(np.float64).T, 9)
         k = min(self.k, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(1e-6, np.take_along_axis(near, best, axis=1)).astype(np.float64) ** self.power
-        return (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
+        least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+        weight = np.where(near >= least, np.maximum(1e-6, near) ** self.power, 0)
+        return (weight @ self.labels) / weight.sum(axis=1)
 
 
 def _sampled_marks(batches):
@@ -131,8 +183,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     own = own.where(fold(F.col("doc_id"), parts) != held_out).groupBy("doc_id").agg(F.min("label").alias("label"))
     order = F.xxhash64("doc_id")
     chosen = [own.where(F.col("label") == x).orderBy(order, "doc_id").limit(sample) for x in (0, 1)]
-    # At most 2 * sample ids, so this side can be broadcast.
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("text", "label")
+    # At most 2 * sample ids, so this side can be broadcast; one row for each of them comes to the driver.
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    picked = picked.withColumn("n", F.row_number().over(one)).where("n = 1").select("text", "label")
     rows = picked.mapInArrow(_sampled_marks, "label int, at array<int>, n array<float>").toArrow()
     counts = np.zeros((rows.num_rows, FEATURES), dtype=np.float32)
     for i, (at, n) in enumerate(zip(rows.column("at"), rows.column("n"))):

@@ -2,17 +2,21 @@
 
 A word is a run of letters. Its features are its first and last 2 and 3 bytes (affixes), its byte bigrams and
 trigrams with the blanks around it, and itself (a learned lexicon), all hashed; transitions between the
-languages of neighbouring words are learned with them. Training takes a bounded sample: for each language the
-DOCS documents with the smallest hash of the id, and of each about WORDS words in stretches spread over the
-whole text. Stretches of different languages are joined in random order, so that the field sees code-switched
-text. It is fitted by gradient ascent on the exact conditional likelihood (forward-backward).
+languages of neighbouring words are learned with them. Training takes a bounded number of rows: for each language
+the DOCS documents with the smallest hash of the id, each with its whole text (a text of a hundred MB that is among
+them is learned from whole, so the driver must hold it). Texts are parted into stretches of STRETCH words, and
+those of all languages are joined in random order, so that the field sees code-switched text. It is fitted by
+gradient ascent on the exact conditional likelihood (forward-backward), some sequences at a time.
 
-A prediction runs forward-backward over all words of a text, exact for any length, and averages the words'
-marginal probabilities; the language with the highest average is the text's, and the average its score.
+A prediction runs forward-backward over all words of a text, exact for any length, and gives each word the language
+with the highest marginal probability (`label_words`); averaged over the words, the marginals name the text's
+language, and its average is the score (`identify`).
 
 Defined results: `und` and score 0 for a null text, for one without a letter, and where nothing could be
-learned; languages are the non-null values of lang; a null doc_id is not held out and does not teach; equal
-rows get equal results; an empty table gives an empty result; other columns are not read.
+learned, and no words; languages are the non-null values of lang; of languages with equal probability the first by
+code points; a null doc_id is not held out and does not teach; of several rows with one doc_id and language the text
+with the smallest hash teaches; equal rows get equal results; an empty table gives an empty result; other columns
+are not read. A long text is held by its task: some 50 bytes for each word and language.
 """
 
 from __future__ import annotations
@@ -22,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, raw, slices, table
+from .common import Kept, fold, raw, slices, table
 
-DOCS = 150
-WORDS = 300
+DOCS = 100
 STRETCH = 25
 SEQUENCE = 64
 EPOCHS = 40
 UNKNOWN = "und"
 _TRI, _AFFIX, _WORD = 1 << 17, 1 << 16, 1 << 18
 _BYTES = 1 << 19
+#: Words whose expectations are taken at a time while fitting; a multiple of SEQUENCE.
+_PART = 1 << 15
 
 
 def _lower_table() -> np.ndarray:
@@ -147,27 +152,39 @@ class Model:
         out -= out.max(axis=1, keepdims=True, initial=-np.inf)
         return np.exp(np.maximum(out, -50)), s
 
+    def marginals(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts' words: probabilities, first bytes and ends (in their texts); of texts: first words and numbers of words."""
+        lens = np.array([len(t or b"") for t in texts], dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(lens + 1)])[:-1] + 1
+        a = np.append(np.uint8(32), normal(b" ".join(t or b"" for t in texts) + b" "))
+        psi, first = self.potentials(a)
+        ends = words_in(a)[1]
+        starts = np.searchsorted(first, begin)
+        lengths = np.diff(np.append(starts, len(first)))
+        some = np.flatnonzero(lengths)
+        alpha, beta, _ = forward_backward(psi, np.exp(self.transitions), starts[some], lengths[some], np.exp(self.start))
+        alpha *= beta
+        alpha /= alpha.sum(axis=1, keepdims=True)
+        base = np.repeat(begin, lengths)
+        return alpha, first - base, ends - base, starts, lengths
+
+    @staticmethod
+    def speaks(text: bytes) -> bool:
+        """Whether a text with words has a letter: some signs beyond ASCII are none."""
+        return text.isascii() or any(c.isalpha() for c in text.decode("utf-8", "replace"))
+
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.langs:
             return langs, scores
-        ends = np.cumsum([len(t or b"") + 1 for t in texts])
-        a = np.append(np.uint8(32), normal(b" ".join(t or b"" for t in texts) + b" "))
-        psi, first = self.potentials(a)
-        starts = np.searchsorted(first, np.concatenate([[1], ends[:-1] + 1]))
-        lengths = np.diff(np.append(starts, len(first)))
+        p, _, _, starts, lengths = self.marginals(texts)
         some = np.flatnonzero(lengths)
         if not len(some):
             return langs, scores
-        psi = psi.astype(np.float64)
-        alpha, beta, _ = forward_backward(psi, np.exp(self.transitions), starts[some], lengths[some], np.exp(self.start))
-        p = alpha * beta
-        p /= p.sum(axis=1, keepdims=True)
         mean = np.add.reduceat(p, starts[some], axis=0) / lengths[some][:, None]
         best = mean.argmax(axis=1)
         for i, k, m in zip(some.tolist(), best.tolist(), mean):
-            text = texts[i]
-            if text.isascii() or any(c.isalpha() for c in text.decode("utf-8", "replace")):
+            if self.speaks(texts[i]):
                 langs[i], scores[i] = self.langs[k], min(1.0, float(m[k]))
         return langs, scores
 
@@ -205,58 +222,72 @@ def fit(samples: list[tuple[str, bytes]], epochs: int = EPOCHS, rate: float = 0.
     target[np.arange(n), gold] = 1
     squares = [np.full(w.shape, 1e-2) for w in (model.bi, model.tri, model.own)]
     square_t, square_s = np.full((size, size), 1e-2), np.full(size, 1e-2)
+    cuts = [*range(0, n, _PART), n]
+    first_gram = np.concatenate([[0], np.cumsum(lens)])
     for _ in range(epochs):
-        score = np.zeros((n, size))
-        for k in range(size):
-            score[:, k] = np.bincount(word, weights=model.bi[bi, k] + model.tri[tri, k], minlength=n) + model.own[own, k].sum(axis=1)
-        psi = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -50))
-        t = np.exp(model.transitions)
-        alpha, beta, _ = forward_backward(psi, t, starts, lengths, np.exp(model.start))
-        p = alpha * beta
-        p /= p.sum(axis=1, keepdims=True)
-        joint = alpha[after - 1][:, :, None] * t[None] * (psi[after] * beta[after])[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        slope_t = (pairs - joint.sum(axis=0)) / n - decay * model.transitions
-        slope_s = (begun - p[starts].sum(axis=0)) / n - decay * model.start
+        t, begin = np.exp(model.transitions), np.exp(model.start)
+        slope_t, slope_s = np.zeros((size, size)), np.zeros(size)
+        miss = np.empty((n, size), dtype=np.float32)
+        for lo, hi in zip(cuts, cuts[1:]):
+            g, h = first_gram[lo], first_gram[hi]
+            score = np.zeros((hi - lo, size))
+            for k in range(size):
+                grams = np.bincount(word[g:h] - lo, weights=model.bi[bi[g:h], k] + model.tri[tri[g:h], k], minlength=hi - lo)
+                score[:, k] = grams + model.own[own[lo:hi], k].sum(axis=1)
+            psi = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -50))
+            at = np.arange(lo, hi, SEQUENCE)
+            alpha, beta, _ = forward_backward(psi, t, at - lo, np.diff(np.append(at, hi)), begin)
+            p = alpha * beta
+            p /= p.sum(axis=1, keepdims=True)
+            slope_t += pair_expectations(alpha, psi * beta, t, after[(after >= lo) & (after < hi)] - lo)
+            slope_s += p[at - lo].sum(axis=0)
+            miss[lo:hi] = -p
+        miss[np.arange(n), gold] += 1
+        slope_t = (pairs - slope_t) / n - decay * model.transitions
+        slope_s = (begun - slope_s) / n - decay * model.start
         square_t += slope_t**2
         square_s += slope_s**2
         model.transitions += rate * slope_t / np.sqrt(square_t)
         model.start += rate * slope_s / np.sqrt(square_s)
-        miss = target - p
-        for w, sq, rows, which in ((model.bi, squares[0], bi, word), (model.tri, squares[1], tri, word), (model.own, squares[2], None, None)):
+        for w, sq, rows in ((model.bi, squares[0], bi), (model.tri, squares[1], tri), (model.own, squares[2], None)):
             for k in range(size):
                 if rows is None:
-                    g = np.bincount(own.ravel(), weights=np.repeat(miss[:, k], own.shape[1]), minlength=len(w)) / n
+                    g = sum(np.bincount(own[:, c], weights=miss[:, k], minlength=len(w)) for c in range(own.shape[1])) / n
                 else:
-                    g = np.bincount(rows, weights=miss[which, k], minlength=len(w)) / n
+                    g = np.bincount(rows, weights=np.repeat(miss[:, k], lens), minlength=len(w)) / n
                 g -= decay * w[:, k] * (g != 0)
                 sq[:, k] += g**2 * 100
                 w[:, k] += rate * g * 10 / np.sqrt(sq[:, k])
     return model
 
 
-def _stretches(batches):
-    for batch in slices(batches):
-        langs, parts = [], []
-        for lang, text in zip(batch.column(1).to_pylist(), raw(batch.column(0))):
-            words = (text or b"").split()
-            for k in np.unique(np.linspace(0, max(0, len(words) - STRETCH), WORDS // STRETCH).astype(int)).tolist():
-                if words[k : k + STRETCH]:
-                    langs.append(lang)
-                    parts.append(b" ".join(words[k : k + STRETCH]))
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["lang", "part"])
+def pair_expectations(alpha: np.ndarray, later: np.ndarray, t: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Expected numbers of each transition into the positions `after`; later is psi * beta. No array has a row for each
+    position and pair of languages."""
+    a, b = alpha[after - 1], later[after]
+    z = ((a @ t) * b).sum(axis=1, keepdims=True)
+    return t * (a.T @ (b / z))
+
+
+def stretches(text: bytes | None) -> list[bytes]:
+    """The whole text in parts of STRETCH words."""
+    words = (text or b"").split()
+    return [b" ".join(words[k : k + STRETCH]) for k in range(0, len(words), STRETCH)]
 
 
 def learn(docs: DataFrame, parts: int = 4, held_out: int = 2, most: int = DOCS) -> Model:
-    """From at most `most` documents of each language, none of the held-out fold; WORDS words of each at most."""
+    """From the whole texts of at most `most` documents of each language, none of the held-out fold."""
     own = docs.where("lang is not null and doc_id is not null").where(fold(F.col("doc_id"), parts) != held_out)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = own.select("doc_id", "lang", F.row_number().over(order).alias("n")).where(F.col("n") <= most)
-    ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
-    # At most `most` ids for each language, so this side can be broadcast.
-    chosen = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("text", "lang")
-    rows = chosen.mapInArrow(_stretches, "lang string, part binary").toArrow()
-    found = sorted(zip(rows.column("lang").to_pylist(), rows.column("part").to_pylist()))
+    ids = own.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), F.xxhash64("text").alias("t"))
+    # One row for each id and language, then the first ids of each language.
+    one = Window.partitionBy("id", "l").orderBy("t")
+    first = Window.partitionBy("l").orderBy(F.xxhash64("id"), "id")
+    ids = ids.withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
+    ids = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).drop("n")
+    ids = Kept(ids, "taught").df
+    same = (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("t"))
+    chosen = docs.select("doc_id", "text", "lang").join(ids, same).dropDuplicates(["id", "l"]).select("text", "lang").toArrow()
+    found = sorted((lang, part) for lang, text in zip(chosen.column("lang").to_pylist(), raw(chosen.column("text"))) for part in stretches(text))
     return fit(found)
 
 
@@ -275,6 +306,35 @@ def identify(docs: DataFrame, model: Model, parts: int = 4, held_out: int = 2) -
     return out.select("doc_id", (fold(F.col("doc_id"), parts) == held_out).alias("held_out"), "lang_pred", "score")
 
 
+def label_words(docs: DataFrame, model: Model) -> DataFrame:
+    """A row for each word: doc_id, start and end (in characters), lang_pred, probability; none where identify says `und`."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = sent.value
+        for batch in slices(batches, most=1 << 20):
+            texts = raw(batch.column(1))
+            if not model.langs:
+                continue
+            p, start, end, first, number = model.marginals(texts)
+            best = p.argmax(axis=1)
+            for i in np.flatnonzero(number).tolist():
+                if not model.speaks(texts[i]):
+                    continue
+                at = slice(first[i], first[i] + number[i])
+                chars = np.concatenate([[0], np.cumsum((np.frombuffer(texts[i], dtype=np.uint8) & 0xC0) != 0x80)])
+                n = int(number[i])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(chars[start[at]]), pa.array(chars[end[at]]),
+                        pa.array([model.langs[k] for k in best[at].tolist()]), pa.array(p[at][np.arange(n), best[at]]),
+                    ],
+                    names=["doc_id", "start", "end", "lang_pred", "probability"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, lang_pred string, probability double")
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(docs))

@@ -56,11 +56,54 @@ def test_held_out_accuracy(spark):
     assert np.mean(hits) > 0.97
     # Words of code-switched text get their own languages.
     texts = {k: next(r.text for r in docs.where(f"lang = '{k}' and n_chars > 900").limit(1).collect()) for k in ("en", "de")}
-    mixed = " ".join(texts["en"].split()[:40] + texts["de"].split()[:40]).encode()
-    psi, _ = model.potentials(np.append(np.uint8(32), langid.normal(mixed + b" ")))
-    alpha, beta, _ = langid.forward_backward(psi, np.exp(model.transitions), np.array([0]), np.array([len(psi)]), np.exp(model.start))
-    path = [model.langs[k] for k in (alpha * beta).argmax(axis=1)]
+    mixed = " ".join(texts["en"].split()[:40] + texts["de"].split()[:40])
+    rows = sorted(langid.label_words(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), model).collect(), key=lambda r: r.start)
+    path = [r.lang_pred for r in rows]
     assert path[: len(path) // 2].count("en") > 30 and path[len(path) // 2 :].count("de") > 30
+    assert all(r.probability > 0.4 for r in rows)
+
+
+def test_words_and_their_places(spark):
+    model = langid.fit([("en", b"the word and that one")] * 9 + [("de", "der die und für das".encode())] * 9, epochs=10)
+    text = "für, das 12 the-word ÄÖ •• and"
+    rows = [(1, text), (2, None), (3, "12 ••"), (None, "die"), (1, text)]
+    got = langid.label_words(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    words = sorted((text[r.start : r.end], r.lang_pred) for r in got if r.doc_id == 1)
+    assert [w for w, _ in words] == sorted(["für", "das", "the", "word", "ÄÖ", "••", "and"] * 2)
+    assert {("für", "de"), ("the", "en"), ("and", "en")} <= set(words)
+    assert {r.doc_id for r in got} == {1, None} and all(0 < r.probability <= 1 for r in got)
+    nothing = langid.label_words(spark.createDataFrame(rows, "doc_id long, text string"), langid.fit([]))
+    assert nothing.count() == 0
+
+
+def test_pair_expectations_against_all_pairs():
+    rng = np.random.default_rng(5)
+    alpha, later, t, after = rng.random((50, 4)), rng.random((50, 4)), rng.random((4, 4)), np.arange(1, 50, 2)
+    joint = alpha[after - 1][:, :, None] * t[None] * later[after][:, None, :]
+    joint /= joint.sum(axis=(1, 2), keepdims=True)
+    assert np.allclose(langid.pair_expectations(alpha, later, t, after), joint.sum(axis=0))
+
+
+def test_fitting_in_parts_is_fitting(monkeypatch):
+    samples = [("en", b"the word and that one is here")] * 40 + [("de", "der die und für das ist".encode())] * 40
+    whole = langid.fit(samples, epochs=4)
+    monkeypatch.setattr(langid, "_PART", langid.SEQUENCE * 2)
+    parts = langid.fit(samples, epochs=4)
+    assert np.allclose(whole.transitions, parts.transitions) and np.allclose(whole.own, parts.own, atol=1e-5)
+
+
+def test_whole_texts_are_learned_from(spark):
+    """All words of a long text, and one row of an id that many rows have."""
+    long = " ".join(f"w{i % 26 * 'a'}{i % 7 * 'b'}" for i in range(5000))
+    assert b" ".join(langid.stretches(long.encode())) == long.encode() and langid.stretches(None) == []
+    rows = [(1, long, "en"), (3, "der die das", "de")] + [(4, f"la le {i}", "fr") for i in range(500)]
+    seen = []
+    fit, langid.fit = langid.fit, lambda samples: seen.extend(samples) or fit(samples, epochs=1)
+    try:
+        langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), parts=10**9, held_out=-5, most=2)
+    finally:
+        langid.fit = fit
+    assert sum(len(p.split()) for lang, p in seen if lang == "en") == 5000 and sum(lang == "fr" for lang, _ in seen) == 1
 
 
 def test_edges(spark):

@@ -52,7 +52,10 @@ class Encoder:
     def ids(self, text: str) -> list[int]:
         try:
             return self.encoding.encode_ordinary(text)
-        except BaseException:  # the matcher's limit comes as a panic
+        except BaseException as e:
+            # The matcher's limit comes as a panic, which is no Exception; interrupts and a lack of memory are not its limit.
+            if isinstance(e, MemoryError) or not (isinstance(e, Exception) or type(e).__name__ == "PanicException"):
+                raise
             cuts = [m.start() for m in _CUT.finditer(text)]
             if not cuts:
                 run = max(_RUN.finditer(text), key=lambda m: m.end() - m.start(), default=None)

@@ -109,3 +109,17 @@ def test_long_runs_of_blanks(blank, before, after):
     expected = encoder.ids(short)
     encoder.encoding = Refusing
     assert encoder.ids(short) == expected
+
+
+@pytest.mark.parametrize("error", [KeyboardInterrupt, SystemExit, MemoryError])
+def test_other_ends_are_not_the_matchers_limit(error):
+    encoder = tokens.Encoder()
+
+    class Ending:
+        @staticmethod
+        def encode_ordinary(text):
+            raise error
+
+    encoder.encoding = Ending
+    with pytest.raises(error):
+        encoder.ids("some words to cut between")

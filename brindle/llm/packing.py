@@ -2,9 +2,10 @@
 
 A document's tokens are its ids and a closing id; a longer one than a sequence is cut into full pieces and
 a last one. Pieces carry only their length and checksum, so what is shuffled is small. Pieces are dealt by
-a hash into groups of about GROUP pieces (as many groups as the data need), and each group is packed by
-best-fit decreasing: a segment tree over the remaining capacities 0..L finds the tightest open sequence in
-log L steps. A group can waste about one sequence of the thousands that it fills.
+their place (task and running number, whatever they hold) into groups of about GROUP pieces, as many groups as
+the data need, so equal rows spread like any others. Each group is packed by best-fit decreasing: a segment tree
+over the remaining capacities 0..L finds the tightest open sequence in log L steps. A group can waste about one
+sequence of the thousands that it fills; one group is what is packed as a whole.
 
 Tokenizing goes through a table of white-space-delimited chunks: the tokenizer splits at white space and
 looks at nothing across it, so a chunk's ids are the same in every text. Chunks whose characters are all
@@ -12,7 +13,8 @@ below U+0100 are split here and only their pieces go to the tokenizer's model; a
 tokenizer whole. Tests compare with encoding whole texts.
 
 Defined results: a null or empty text is one piece, the closing id; a null doc_id packs like any other;
-equal rows are packed each; an empty table gives an empty result; other columns are not read.
+equal rows are packed each; pieces of equal length go in order of doc_id, piece and checksum; a text of any length
+is encoded whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -132,12 +134,17 @@ def vocabulary_path(name: str) -> str:
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Where a piece stands: its task in the upper bits, a running number in the lower.
+PLACED = PIECES + ", place long"
 
 
 def _pieces(name: str, length: int, close: int):
     def run(batches):
+        from pyspark import TaskContext
+
         chunks = _opened(vocabulary_path(name))
         last = np.array([close], dtype="<u4")
+        place = TaskContext.get().partitionId() << 40
         for batch in slices(batches, most=4 << 20):
             docs = batch.column(0).to_pylist()
             ids, ends = chunks.encode_all(batch.column(1).to_pylist())
@@ -150,9 +157,10 @@ def _pieces(name: str, length: int, close: int):
                     part = own[s : s + length]
                     rows.append((doc, k, s, len(part), zlib.crc32(part.tobytes())))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
-            )
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+            cols.append(pa.array(np.arange(place, place + len(rows))))
+            place += len(rows)
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "place"])
 
     return run
 
@@ -211,7 +219,7 @@ def best_fit(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.
 
 def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, close: int = CLOSE, group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = Kept(docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary, length, close), PIECES), "pieces").df
+    pieces = Kept(docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary, length, close), PLACED), "pieces").df
     groups = -(-pieces.count() // group)
 
     def run(key, held):
@@ -222,7 +230,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, cl
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
         return pa.table(cols, names=names)
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, groups))))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("place"), F.lit(max(1, groups)))).drop("place")
     return dealt.groupBy("_group").applyInArrow(run, PIECES + ", sequence_id long, offset long")
 
 

@@ -90,5 +90,21 @@ def test_pack(spark, group):
     assert group < 1000 or len(bins) <= -(-sum(r.length for r in got) // 2048) + 1
 
 
+def test_equal_rows_spread_over_groups(spark):
+    """3,000 equal rows among others: no group holds many more pieces than it should, and little is wasted."""
+    rows = [(i, "some more words " * (i % 40)) for i in range(500)] + [(7, "one text that very many rows have " * 20)] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    least = None
+    for group in (100, 500, 10**6):
+        got = packing.pack(df, group=group).collect()
+        groups = defaultdict(int)
+        for r in got:
+            groups[r.sequence_id >> 32] += 1
+        used = len({r.sequence_id for r in got})
+        least = -(-sum(r.length for r in got) // 2048)
+        assert len(got) == 3500 and max(groups.values()) < 1.6 * group
+        assert used <= least * 1.02 + len(groups)
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0

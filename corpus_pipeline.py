@@ -29,8 +29,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at which a source's budget ends is cut there."""
-    return mixing.mixed_documents(docs)
+    """Documents as often as the mix takes them, better ones sooner; the one at which a source's budget ends is cut there."""
+    weight = mixing.fit_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing.mixed_documents(docs, weight=weight(docs["text"]))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 class Kept:
     """A table written to the shared folder: it cuts lineage and survives lost executors. `by`: a folder for each value."""
 
+    _passing: list[Kept] | None = None
+
     def __init__(self, df: DataFrame, label: str, by: list[str] | None = None, **options: str):
         self.spark = df.sparkSession
+        if Kept._passing is not None:
+            Kept._passing.append(self)
         self.path = f"{shared_dir(self.spark)}/brindle-{uuid.uuid4().hex}-{label}"
         writer = df.write.option("compression", "zstd").options(**options)
         (writer.partitionBy(*by) if by else writer).parquet(self.path)
@@ -40,6 +45,18 @@ class Kept:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    @classmethod
+    @contextmanager
+    def passing(cls):
+        """Tables kept inside are deleted at the end, but for those that the caller takes out of the list."""
+        before, cls._passing = cls._passing, []
+        try:
+            yield cls._passing
+        finally:
+            own, cls._passing = cls._passing, before
+            for one in own:
+                one.drop()
+
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     return Kept(df, label).df

@@ -40,7 +40,7 @@ OVERHEAD = 72
 #: Tasks that write buckets at most; each takes a range of the directory's slots.
 WRITERS = 1 << 16
 #: Bytes of texts, and rows, that an input task chains before it lets its entries go.
-CHAIN_BYTES, CHAIN_ROWS = 32 << 20, 100_000
+CHAIN_BYTES, CHAIN_ROWS = 12 << 20, 50_000
 
 ENTRY = "kind int, entry long, id long, n long, hash long, text binary, sha string"
 
@@ -230,8 +230,11 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
 
 def kept_documents(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     """The documents that stay, with all their columns; of rows with one id and equal texts, one."""
-    found = exact_groups(docs, capacity).select(F.col("doc_id").alias("_id"), "_row", "kept", F.unhex("text_sha256").alias("sha"))
-    found = Kept(found, "verdicts").df
+    with Kept.passing() as tables:
+        found = exact_groups(docs, capacity).select(F.col("doc_id").alias("_id"), "_row", "kept", F.unhex("text_sha256").alias("sha"))
+        found = Kept(found, "verdicts")
+        tables.remove(found)
+    found = found.df
     several = found.where("kept").groupBy("_id", "sha").agg(F.min("_row").alias("_row"), F.count("*").alias("n")).where("n > 1")
     several = Kept(several, "several").df
     gone = found.where("not kept").select("_id", "_row")

@@ -1,13 +1,19 @@
 """Near-duplicates by the Jaccard similarity of their sets of 5-word shingles: every pair of 0.8 or more.
 
-An exact set-similarity join with prefixes. All shingles are put in one order; two sets of similarity s or more
-share at least s of the larger one, so they share a shingle among the first n - ceil(s n) + 1 of each. Only
-these go to cells, one for each shingle. The order puts shingles that are frequent in a sample last, which
-keeps cells small; it changes the speed only. What meets in a cell is compared in two rounds, so that a group
-of m near copies costs about m comparisons and not m squared: first each member with the cell's first one;
-then only pairs that are still in different components, if a bound allows them (parities of the shingles'
-hashes over 256 bits differ in no more bits than the sets differ in shingles). Each pair that is left is
-verified with both whole sets, so no pair is missed and none is linked that is less similar.
+Operator 1 carried to that similarity. Two texts whose sets share 0.8 of their union differ in about 10 of 64
+fingerprint bits, sometimes in 20, and balls of such a radius hold most of the table; so fingerprints alone can't
+find all of these pairs. They find what lies within 3 bits: SimHash over the sets, multi-index hashing, then the
+sets themselves decide. Groups of copies are mostly told by then, at a link for each member.
+
+What that leaves apart is completed by an exact set-similarity join with prefixes. All shingles are put in one
+order; two sets of similarity s or more share at least s of the larger one, so they share a shingle among the
+first n - ceil(s n) + 1 of each. Only these go to cells, one for each shingle, and only cells with several
+components count. The order puts shingles that are frequent in a sample last, which keeps cells small; it changes
+the speed only. What meets in a cell is compared in two rounds, so that a group of m near copies costs about m
+comparisons and not m squared: first each member with the cell's first one; then only pairs that are still in
+different components, if a bound allows them (parities of the shingles' hashes over twice as many bits as shingles differ in no more
+bits than the sets differ in shingles). Each pair that is left is verified with both whole sets, so no pair is
+missed and none is linked that is less similar.
 
 Defined results: texts are compared by words in lower case (ASCII); fewer than five words are one shingle, no
 words (null, empty, blanks) are one set; a null doc_id counts as larger than all others; equal rows stay or go
@@ -19,11 +25,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Kept, raw, slices
 from .components import components
+from .simhash import majority, near_links
 
 #: Similar are sets that share OF / PER of their union or more.
 WORDS, OF, PER, SEED = 5, 4, 5, 42
@@ -31,6 +38,8 @@ WORDS, OF, PER, SEED = 5, 4, 5, 42
 CELL = 2048
 #: For the order only: documents in the sample, shingles put last, the count from which one is.
 SAMPLE, LAST, OFTEN = 10_000, 1 << 16, 3
+#: Parities of a set at least; a power of two.
+BITS = 1024
 _PAIRS = 1 << 16
 
 
@@ -61,11 +70,31 @@ def prefix(s: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """Four words of 64 bits; each shingle turns the bit that its highest 8 bits name."""
-    odd = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    """At least 2 bits a shingle, BITS or more, in words of 64; each shingle turns the bit that its lowest bits name.
+
+    So the halves of a longer list, put together by exclusive or, are the list of half the length.
+    """
+    size = max(BITS, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """A list of parities, cut down to BITS of them."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, BITS // 64), axis=0)
+
+
+def _half(x: Column) -> Column:
+    n = (F.size(x) / 2).cast("int")
+    return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda a, b: a.bitwiseXOR(b))
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """In how many bits two lists differ, the longer one cut to the other (sizes of pairs are within a quarter)."""
+    x, y = F.when(F.size(x) > F.size(y), _half(x)).otherwise(x), F.when(F.size(y) > F.size(x), _half(y)).otherwise(y)
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+
+
 def _sampled(words: int):
     def run(batches):
         for batch in slices(batches):
@@ -78,17 +107,20 @@ def _sampled(words: int):
 def _prints(words: int, last: np.ndarray, rank: np.ndarray):
     def run(batches):
         for batch in slices(batches):
-            sig, size, bits, keys = [], [], [], []
+            sig, fp, size, bits, keys = [], [], [], [], []
             for x in raw(batch.column(2)):
                 s = shingles(x, words)
                 sig.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                fp.append(majority(s))
                 size.append(len(s))
                 bits.append(parities(s))
                 keys.append(prefix(s, last, rank).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            cols = [pa.array(np.array(sig, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), *map(pa.array, np.array(bits).T.copy())]
+            cols = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (sig, fp)]
+            cols.append(pa.array(size, pa.int32()))
+            cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bits)]).astype(np.int32)), pa.array(np.concatenate(bits))))
             cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "tkey", "sig", "size", "b0", "b1", "b2", "b3", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "tkey", "sig", "fp", "size", "bits", "keys"])
 
     return run
 
@@ -142,12 +174,14 @@ def _across(batches):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        col = {n: np.asarray(batch.column(k)) for k, n in enumerate(batch.schema.names)}
+        col = {n: np.asarray(batch.column(k)) for k, n in enumerate(batch.schema.names) if n != "bits"}
         key = col["key"]
-        x = np.zeros(len(key), dtype=[("sig", "i8"), ("comp", "i8"), ("size", "i8"), ("first", "i1"), ("side", "i1"), ("bits", "u8", 4)])
+        x = np.zeros(len(key), dtype=[("sig", "i8"), ("comp", "i8"), ("size", "i8"), ("first", "i1"), ("side", "i1"), ("bits", "u8", BITS // 64)])
         for n in ("sig", "comp", "size", "first", "side"):
             x[n] = col[n]
-        x["bits"] = np.stack([col[f"b{k}"].view(np.uint64) for k in range(4)], axis=1)
+        bits = batch.column(batch.schema.get_field_index("bits"))
+        for k, (lo, hi) in enumerate(zip(bits.offsets[:-1].to_pylist(), bits.offsets[1:].to_pylist())):
+            x["bits"][k] = folded(np.asarray(bits.values[lo:hi])).view(np.uint64)
         cuts = np.flatnonzero(np.diff(key)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
             if lo == hi:
@@ -174,49 +208,71 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return last[order], -order
 
 
-def near_components(docs: DataFrame, words: int = WORDS, cell: int = CELL) -> DataFrame:
-    """For each set of shingles: sig, rep (no_id, doc_id, tkey: the smallest id and the hash of its text), component."""
+def _groups(docs: DataFrame, words: int, cell: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tkey, sig of every row), (sig, rep, n rows, component of every set)."""
     last, rank = _frequent(docs, words)
     prints = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(
-        _prints(words, last, rank), "doc_id long, tkey long, sig long, size int, b0 long, b1 long, b2 long, b3 long, keys array<long>"
+        _prints(words, last, rank), "doc_id long, tkey long, sig long, fp long, size int, bits array<long>, keys array<long>"
     )
+    prints = Kept(prints, "set-prints").df
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("rep")
-    same = [F.first(c).alias(c) for c in ("size", "b0", "b1", "b2", "b3", "keys")]
-    reps = Kept(prints.groupBy("sig").agg(rep, *same), "reps").df
-    probes = reps.select("sig", "size", F.explode("keys").alias("key"))
-    sizes = probes.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("first")).where("m > 1")
-    met = probes.join(sizes.withColumnRenamed("key", "k2"), F.col("key") == F.col("k2")).select("key", "m", "first", "sig", "size")
-    met = Kept(met, "cells").df
-    pairs = met.where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct()
-    links = _similar(docs, reps, pairs, words)
+    same = [F.first(c).alias(c) for c in ("fp", "size", "bits")]
+    reps = Kept(prints.groupBy("sig").agg(rep, F.count("*").alias("n"), *same), "reps").df
+    # Fingerprints first: what lies within their bits and is similar needs no cells.
+    fps = Kept(reps.groupBy("fp").agg(F.min("sig").alias("rep")), "fps").df
+    own = fps.select(F.col("fp").alias("fp2"), F.col("rep").alias("a"))
+    equal = reps.select("fp", F.col("sig").alias("b")).join(own, F.col("fp") == F.col("fp2")).where("a <> b").select("a", "b")
+    links = _similar(docs, reps, near_links(fps, cell=cell).union(equal), words)
+    found = Kept(components(links), "near").df
+    # What they leave apart meets in cells; a cell of one component has nothing to add.
+    # Rows with one set meet here again; cells and pairs take no notice of how often a set is there.
+    named = prints.select("sig", "keys").join(found, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("component", "sig").alias("comp"), "keys")
+    probes = named.select("sig", "comp", F.explode("keys").alias("key"))
+    sizes = probes.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    sizes = sizes.where("lo < hi").select(F.col("key").alias("k2"), "m", "first")
+    met = Kept(probes.join(sizes, F.col("key") == F.col("k2")).select("key", "m", "first", "sig", "comp"), "cells").df
+    pairs = met.where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b"), "comp").distinct()
+    pairs = pairs.join(found, F.col("a") == F.col("node"), "left").where(F.coalesce("component", "a") != F.col("comp")).select("a", "b")
+    links = links.union(_similar(docs, reps, pairs, words))
     found = Kept(components(links), "components").df
-    # The second round: cells of three or more that the links of the first left apart.
-    left = met.where("m > 2").join(found, F.col("sig") == F.col("node"), "left").select("key", "m", "first", "sig", F.coalesce("component", "sig").alias("comp"))
+    # The second round: cells of three or more that the links so far left apart.
+    left = met.where("m > 2").select("key", "m", "first", "sig")
+    left = left.join(found, F.col("sig") == F.col("node"), "left").select("key", "m", "first", "sig", F.coalesce("component", "sig").alias("comp"))
     left = Kept(left, "left").df
     apart = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("k2"))
     left = left.join(apart, F.col("key") == F.col("k2"), "left_semi")
-    left = left.join(reps.select(F.col("sig").alias("s2"), "size", "b0", "b1", "b2", "b3"), F.col("sig") == F.col("s2"))
+    left = left.join(reps.select(F.col("sig").alias("s2"), "size", "bits"), F.col("sig") == F.col("s2"))
     left = left.withColumn("blocks", F.ceil(F.col("m") / cell).cast("int")).withColumn("block", F.pmod(F.xxhash64("sig", F.lit(5)), F.col("blocks")).cast("int"))
     left = left.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select(
         F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "against"), F.greatest("block", "against"))).alias("key"),
         "sig", "comp", "size", (F.col("sig") == F.col("first")).cast("tinyint").alias("first"),
-        F.expr("cast(block > against as tinyint)").alias("side"), "b0", "b1", "b2", "b3",
+        F.expr("cast(block > against as tinyint)").alias("side"), "bits",
     )
     pairs = left.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
     more = _similar(docs, reps, pairs, words)
     if not more.isEmpty():
         found = components(links.union(more))
-    return reps.join(found, F.col("sig") == F.col("node"), "left").select("sig", "rep", F.coalesce("component", "sig").alias("component"))
+    named = reps.join(found, F.col("sig") == F.col("node"), "left").select("sig", "rep", "n", F.coalesce("component", "sig").alias("component"))
+    return prints.select("doc_id", "tkey", "sig"), named
+
+
+def near_components(docs: DataFrame, words: int = WORDS, cell: int = CELL) -> DataFrame:
+    """For each set of shingles: sig, rep (no_id, doc_id, tkey: the smallest id and the hash of its text), n rows, component."""
+    return _groups(docs, words, cell)[1]
 
 
 def _similar(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Pairs whose sizes allow it and whose whole sets are similar; the sets are made again, of those texts only."""
+    """Pairs whose sizes and parities allow it and whose whole sets are similar; the sets are made again, of those texts only."""
     size = lambda n: reps.select(F.col("sig").alias(f"s{n}"), F.col("size").alias(f"n{n}"))
     pairs = pairs.join(size(1), F.col("a") == F.col("s1")).join(size(2), F.col("b") == F.col("s2"))
-    pairs = Kept(pairs.where(F.greatest("n1", "n2") * OF <= F.least("n1", "n2") * PER).select("a", "b"), "pairs").df
+    pairs = pairs.where(F.greatest("n1", "n2") * OF <= F.least("n1", "n2") * PER).select("a", "b", (F.col("n1") + F.col("n2")).alias("n"))
+    bits = lambda n: reps.select(F.col("sig").alias(f"s{n}"), F.col("bits").alias(f"b{n}"))
+    pairs = pairs.join(bits(1), F.col("a") == F.col("s1")).join(bits(2), F.col("b") == F.col("s2"))
+    pairs = Kept(pairs.where((OF + PER) * _apart(F.col("b1"), F.col("b2")) <= (PER - OF) * F.col("n")).select("a", "b"), "pairs").df
     need = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = reps.join(need, F.col("sig") == F.col("a"), "left_semi").select(F.col("rep.tkey").alias("_tkey"))
+    # Kept, so that its size is known: texts are met by broadcast where these hashes are few, else by a shuffle.
+    texts = Kept(reps.join(need, F.col("sig") == F.col("a"), "left_semi").select(F.col("rep.tkey").alias("_tkey")).distinct(), "texts").df
     texts = docs.select("text").join(texts, F.xxhash64("text") == F.col("_tkey"), "left_semi")
     sets = Kept(texts.mapInArrow(_sets(words), "sig long, own binary").dropDuplicates(["sig"]), "sets").df
     x, y = (sets.select(F.col("sig").alias(f"s{n}"), F.col("own").alias(n)) for n in "xy")
@@ -224,7 +280,16 @@ def _similar(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int) ->
     return Kept(both.mapInArrow(_verified, "a long, b long"), "similar").df
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id, with all its columns."""
-    stay = near_components(docs).groupBy("component").agg(F.min("rep").alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.tkey").alias("_tkey"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (F.xxhash64(docs["text"]) == stay["_tkey"]), "left_semi")
+    with Kept.passing() as tables:
+        prints, named = _groups(docs, words, CELL)
+        keep = named.groupBy("component").agg(F.min("rep").alias("r"), F.sum("n").alias("rows")).where("rows > 1")
+        keep = keep.select(F.col("component").alias("c2"), F.col("r.doc_id").alias("keep_id"), F.col("r.tkey").alias("keep_key"))
+        keep = named.join(keep, F.col("component") == F.col("c2")).select(F.col("sig").alias("s2"), "keep_id", "keep_key")
+        gone = prints.join(keep, F.col("sig") == F.col("s2")).where(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("tkey") == F.col("keep_key"))))
+        # Kept, so that its size is known: documents are shuffled only where those that go are many.
+        gone = Kept(gone.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")).distinct(), "gone")
+        tables.remove(gone)
+    gone = gone.df
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_tkey"]), "left_anti")

@@ -12,7 +12,8 @@ Cells still over the limit are compared block against block, each pair of blocks
 
 Defined results: null and empty texts and texts of blanks have fingerprint zero and link like any other;
 a null doc_id counts as larger than all others (component_id null only if all of the group are null);
-equal rows each give a row; an empty table gives an empty result; other columns are not read.
+equal rows each give a row; an empty table gives an empty result; other columns are not read. A text of any
+length is taken whole, its hashes a chunk at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import Kept, raw, slices, table
 from .components import components
-from .shingles import one_of_each  # noqa: F401
 
 WORDS, BITS, SEED = 3, 3, 42
 #: Fingerprints in a cell beyond which it is split, and a block's when nothing else splits it.
@@ -48,11 +48,23 @@ def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int
     s, e = starts[:n].tolist(), (starts + lens)[words - 1 :].tolist()
     sums = np.zeros(64, dtype=np.int64)
     for k in range(0, n, _CHUNK):
-        h = np.array([digest(line[i:j], seed) for i, j in zip(s[k : k + _CHUNK], e[k : k + _CHUNK])], dtype=np.uint64)
-        sums += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        sums += _ones(np.array([digest(line[i:j], seed) for i, j in zip(s[k : k + _CHUNK], e[k : k + _CHUNK])], dtype=np.uint64))
+    return _more_than_half(sums, n)
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _more_than_half(sums: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(sums * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits that are set in over half of them."""
+    return _more_than_half(sum((_ones(h[k : k + _CHUNK]) for k in range(0, len(h), _CHUNK)), np.zeros(64, dtype=np.int64)), len(h))
+
+
 def _fingerprints(words: int, seed: int):
     def run(batches):
         for batch in slices(batches):

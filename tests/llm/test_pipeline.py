@@ -13,7 +13,7 @@ from brindle.llm import quality
 
 from .test_mixing import water_fill
 from .test_packing import tokenizer
-from .test_simhash import brute_components, brute_print
+from .test_shingles import kept_ids
 
 SF = "/root/testdata/sf0.001"
 CLASH = ["_row", "_id", "_doc", "_whole", "_copy", "_cut", "fp", "component_id", "score", "label", "entry", "target"]
@@ -62,10 +62,10 @@ def test_stages(spark, tmp_path):
         k = lower(r.text)
         best[k] = max(best.get(k, -1), -1 if r.doc_id is None else r.doc_id)
     assert Counter(map(tuple, unique)) == Counter(tuple(r) for r in kept if best[lower(r.text)] == (-1 if r.doc_id is None else r.doc_id))
-    # Near: the smallest id of each component.
+    # Near: the smallest id of each component of all pairs whose 5-word shingles have a similarity of 0.8.
     last = (1 << 63) - 1
-    found = brute_components({last if r.doc_id is None else r.doc_id: brute_print(r.text) for r in unique})
-    assert Counter(map(tuple, distinct)) == Counter(tuple(r) for r in unique if found[k := last if r.doc_id is None else r.doc_id] == k)
+    stay = kept_ids([(last if r.doc_id is None else r.doc_id, r.text) for r in unique])
+    assert Counter(map(tuple, distinct)) == Counter(tuple(r) for r in unique if (last if r.doc_id is None else r.doc_id) in stay)
     # Mixing: targets met to a word; whole copies and at most one beginning for each document.
     sizes, taken, copies = defaultdict(int), defaultdict(int), defaultdict(list)
     for r in distinct:

@@ -51,7 +51,7 @@ def changed(rng, base, k):
 def test_against_all_pairs(spark, cell):
     rng = random.Random(7)
     texts = [None, "", " \n", "one", "ONE", "one two", "a b c d e", "a b c d e f"]
-    for n in (12, 60, 300):
+    for n in (12, 60, 300, 516, 1028):  # the last two on both sides of a doubling of the parities
         for _ in range(8):
             base = text(rng, n)
             texts += [base, base.upper(), base + " " + base, *(changed(rng, base, k) for k in range(1, 1 + max(2, n // 30)))]

@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from brindle.llm import simhash
+from brindle.llm import shingles, simhash
 
 SCHEMA = "doc_id long, text string, fp string, rep string"
 
@@ -72,7 +72,7 @@ def test_planted_fingerprints(spark, cell):
 
 def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert simhash.near_components(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+    assert simhash.near_components(empty).count() == 0 and shingles.one_of_each(empty).count() == 0
     df = spark.createDataFrame([(None, "x y z", "", ""), (5, "x y z", "", ""), (5, "x y z", "", ""), (None, "else", "", "")], SCHEMA)
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_components(df).collect()), key=str)
     assert got == sorted([(None, 5), (5, 5), (5, 5), (None, None)], key=str)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, raw, slices, table
+from .common import fold, process_cache, raw, slices, table
 
 SAMPLE = 1024
 DIMS = 64
@@ -34,7 +34,7 @@ K = 15
 POWER = 8
 FEATURES = 4096
 #: Bytes of a text whose marks are counted at a time; counts add up over the whole text.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 #: Places of class trigrams, words and byte 4-grams; the rest are for runs and counters.
 _TRI, _WORDS, _GRAMS = 2048, 960, 1024
 _EXTRA = FEATURES - _TRI - _WORDS - _GRAMS
@@ -58,8 +58,16 @@ _CLASS = _classes()
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _ODD = 0x2545F4914F6CDD1D
-_POWERS = np.multiply.accumulate(np.append(np.uint64(1), np.full(_CHUNK, np.uint64(_ODD), dtype=np.uint64)))
-_INVERSES = np.multiply.accumulate(np.append(np.uint64(1), np.full(_CHUNK, np.uint64(pow(_ODD, -1, 1 << 64)), dtype=np.uint64)))
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64, made once in each process."""
+    held = process_cache()
+    if "powers" not in held:
+        held["powers"] = tuple(
+            np.multiply.accumulate(np.append(np.uint64(1), np.full(_CHUNK, np.uint64(x), dtype=np.uint64))) for x in (_ODD, pow(_ODD, -1, 1 << 64))
+        )
+    return held["powers"]
 
 
 def _place(h: np.ndarray, size: int) -> np.ndarray:
@@ -82,12 +90,12 @@ def _chunks(text: bytes):
 
 def _terms(a: np.ndarray, out: np.ndarray) -> None:
     """Words and 4-grams of bytes, added to out."""
-    low = _LOWER[a]
+    low, (up, down) = _LOWER[a], _powers()
     blank = (a == 32) | ((a >= 9) & (a <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
     s, e = edge[::2], edge[1::2]
-    h = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((low + np.uint64(1)) * _POWERS[: len(low)])])
-    out[_TRI : _TRI + _WORDS] += np.bincount(_place((h[e] - h[s]) * _INVERSES[s], _WORDS), minlength=_WORDS)
+    h = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((low + np.uint64(1)) * up[: len(low)])])
+    out[_TRI : _TRI + _WORDS] += np.bincount(_place((h[e] - h[s]) * down[s], _WORDS), minlength=_WORDS)
     if len(a) >= 4:
         g = low[:-3] | low[1:-2] << np.uint64(8) | low[2:-1] << np.uint64(16) | low[3:] << np.uint64(24)
         out[_TRI + _WORDS : _TRI + _WORDS + _GRAMS] += np.bincount(_place(g, _GRAMS), minlength=_GRAMS)

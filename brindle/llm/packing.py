@@ -35,8 +35,8 @@ CLOSE = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces packed together, about.
 GROUP = 40_000
-#: Chunks and pieces of words that a task remembers between batches.
-REMEMBER = 1_000_000
+#: Chunks of which a task begins its memory anew, keeping those before for once: some 60 MB.
+REMEMBER = 150_000
 
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
@@ -68,40 +68,48 @@ class Chunks(dict):
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes = _byte_characters()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}  # ids as the bytes of an array: a third of a list's memory
         self.forget()
 
     def forget(self) -> None:
+        """What was met since the last time is kept once more; so frequent chunks stay and rare ones go."""
+        self.old, self.old_ids, self.old_ends = dict(self), getattr(self, "ids", None), getattr(self, "ends", None)
         self.clear()
         self.pieces.clear()
         self.ids = array("I")
         self.ends = array("q", [0])
 
     def __missing__(self, chunk: str) -> int:
-        if chunk.isalpha() and len(chunk) <= 1000 and (chunk.isascii() or max(chunk) < "Ā"):
-            piece = chunk.lower()  # a run of letters is one piece
-            ids = self.pieces.get(piece)
-            self.ids.extend(self.word(piece) if ids is None else ids)
+        k = self.old.get(chunk)
+        if k is not None:
+            self.ids.extend(self.old_ids[self.old_ends[k] : self.old_ends[k + 1]])
         else:
-            self.ids.extend(self.encode(chunk))
+            self.learn(chunk)
         self.ends.append(len(self.ids))
         n = self[chunk] = len(self.ends) - 2
         return n
 
-    def word(self, piece: str) -> list[int]:
+    def learn(self, chunk: str) -> None:
+        if chunk.isalpha() and len(chunk) <= 1000 and (chunk.isascii() or max(chunk) < "Ā"):
+            piece = chunk.lower()  # a run of letters is one piece
+            ids = self.pieces.get(piece)
+            self.ids.frombytes(self.word(piece) if ids is None else ids)
+        else:
+            self.encode(chunk)
+
+    def word(self, piece: str) -> bytes:
         plain = piece if piece.isascii() and piece.isalnum() else "".join(map(self.bytes.__getitem__, piece.encode()))
-        ids = self.pieces[piece] = [t.id for t in self.model.tokenize(plain)]
+        ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
         return ids
 
-    def encode(self, chunk: str) -> list[int]:
+    def encode(self, chunk: str) -> None:
         latin = chunk.isascii() or max(chunk) < "Ā"
         if not latin or len(chunk) > 1000 or ("<|" in chunk and any(s in chunk for s in self.special)):
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out: list[int] = []
+            self.ids.extend(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            return
         for piece in self.split(chunk.lower()):
             ids = self.pieces.get(piece)
-            out += self.word(piece) if ids is None else ids
-        return out
+            self.ids.frombytes(self.word(piece) if ids is None else ids)
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one behind the other, and where each text ends."""

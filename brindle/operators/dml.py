@@ -53,14 +53,25 @@ def exists(df: DataFrame) -> bool:
     return bool(df.limit(1).take(1))
 
 
-def check_new_rows(schema: TableSchema, rows: DataFrame, current: DataFrame) -> None:
-    """Each key and unique column: no value twice among the rows, none that the table has. NULLs are exempt."""
+def clashes(schema: TableSchema, rows: DataFrame, current: DataFrame) -> DataFrame:
+    """Values that keys and unique columns refuse among new rows: column, value (as text), why. NULLs are exempt.
+
+    What the table has is met by a join on each column, so Spark can broadcast few new values.
+    """
+    out = None
     for c in [schema.key, *schema.uniques]:
         own = rows.select(F.col(f"`{c.name}`").alias("v")).where("v is not null")
-        if exists(own.groupBy("v").count().where("count > 1")):
-            raise Duplicate(f"{schema.name}.{c.name}: a value twice")
-        if exists(current.select(F.col(f"`{c.name}`").alias("v")).join(own, "v", "left_semi")):
-            raise Duplicate(f"{schema.name}.{c.name}: a value that exists")
+        known = current.select(F.col(f"`{c.name}`").alias("v")).join(own, "v", "left_semi")
+        for bad, why in ((own.groupBy("v").count().where("count > 1"), "a value twice"), (known, "a value that exists")):
+            bad = bad.select(F.lit(c.name).alias("column"), F.col("v").cast("string").alias("value"), F.lit(why).alias("why"))
+            out = bad if out is None else out.union(bad)
+    return out
+
+
+def check_new_rows(schema: TableSchema, rows: DataFrame, current: DataFrame) -> None:
+    """All keys and unique columns in one query, which ends at the first offender."""
+    for r in clashes(schema, rows, current).limit(1).take(1):
+        raise Duplicate(f"{schema.name}.{r['column']}: {r['why']}")
 
 
 def check_literals(schema: TableSchema, c: ColumnDef, values: list, current: DataFrame) -> None:
@@ -73,9 +84,9 @@ def check_literals(schema: TableSchema, c: ColumnDef, values: list, current: Dat
             raise Duplicate(f"{schema.name}.{c.name}: a value that exists")
 
 
-def files_with(current: DataFrame, condition: Column) -> list[str]:
-    """Data files that hold a row for which the condition is true."""
-    return [r[0] for r in current.where(condition).select(F.col(FILE).alias("f")).distinct().collect()]
+def files_with(current: DataFrame, condition: Column) -> dict[str, int]:
+    """Data files that hold rows for which the condition is true, and how many each holds."""
+    return {r["f"]: r["count"] for r in current.where(condition).groupBy(F.col(FILE).alias("f")).count().collect()}
 
 
 def without(rows: DataFrame, condition: Column) -> DataFrame:

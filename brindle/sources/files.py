@@ -29,14 +29,17 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, name: str, text: str) -> None:
-        """Writes beside and renames over: readers see the old text or the new one."""
-        beside = self.path(f"{name}.new")
-        stream = self.fs.create(beside, True)
+    def write(self, name: str, text: str) -> None:
+        stream = self.fs.create(self.path(name), True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+
+    def replace(self, name: str, text: str) -> None:
+        """Writes beside and renames over: readers see the old text or the new one."""
+        beside = self.path(f"{name}.new")
+        self.write(f"{name}.new", text)
         rename = self.jvm.org.apache.hadoop.fs.Options.Rename
         how = self.gateway.new_array(rename, 1)
         how[0] = rename.OVERWRITE

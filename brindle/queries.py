@@ -6,15 +6,18 @@ database of their own in the shared scratch folder and return the table afterwar
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .errors import EngineError
 from .functions import types as t
 from .plans.parser import parse
-from .schema import ColumnDef, TableSchema
+from .repl import session
+from .schema import ColumnDef, ForeignKey, TableSchema
 from .sources.scratch import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,11 +190,273 @@ def autoinc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.table("n")
 
 
-@_query("pk_dup_check", "SELECT r_regionkey, count(*) AS n FROM (SELECT r_regionkey FROM region UNION ALL SELECT CAST(3 AS INT)) AS x GROUP BY r_regionkey HAVING count(*) > 1")
+# Constraints: each returns what the table holds after the refusals, and which they were
+
+
+def _refusals(spark: SparkSession, engine: Engine, *attempts) -> DataFrame:
+    """(attempt, code) for each statement or call; code 0 if it was done."""
+    rows = []
+    for k, attempt in enumerate(attempts):
+        try:
+            engine.sql(attempt) if isinstance(attempt, str) else attempt()
+            rows.append((k, 0))
+        except EngineError as e:
+            rows.append((k, e.code))
+    return spark.createDataFrame(rows, "attempt int, code int")
+
+
+def _with(df: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
+    """Refusals and rows, one below the other."""
+    text = [F.col(c).cast("string").alias(c) for c in cols]
+    none = [F.lit(None).cast("string").alias(c) for c in cols]
+    return df.select(F.col("attempt").cast("int"), F.col("code").cast("int"), *none).union(table.select(F.lit(None).cast("int"), F.lit(None).cast("int"), *text))
+
+
+@_query(
+    "pk_dup_check",
+    """SELECT 'r_regionkey' AS "column", CAST(r_regionkey AS VARCHAR) AS value, 'a value that exists' AS why FROM region WHERE r_regionkey = 3
+    UNION ALL SELECT 'r_regionkey', '9', 'a value twice' UNION ALL SELECT 'r_name', NULL, 'NULL' UNION ALL SELECT 'rows left', CAST(count(*) AS VARCHAR), 'refused' FROM region""",
+)
 def pk_dup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The question that a key check asks of the rows to be inserted together with those that are there."""
-    rows = _table(spark, sf_dir, "region").select("r_regionkey").union(spark.range(3, 4).select(F.col("id").cast("int")))
-    return rows.groupBy("r_regionkey").agg(F.count("*").alias("n")).where("n > 1")
+    """Rows that insert_df refuses, what of them it refuses, and that the table is as before."""
+    engine = _loaded(spark, sf_dir, REGION)
+    rows = spark.createDataFrame([(3, "again"), (8, "new"), (9, "one"), (9, "two"), (10, None)], "r_regionkey int, r_name string")
+    refused = _refusals(spark, engine, lambda: engine.insert_df("region", rows))
+    left = engine.table("region").agg(F.lit("rows left"), F.count("*").cast("string"))
+    return engine.refused("region", rows).union(left.crossJoin(refused.select(F.when(F.col("code") < 0, "refused").otherwise("taken"))))
+
+
+@_query(
+    "unique_check",
+    """SELECT * FROM (VALUES (0, -3), (1, 0), (2, 0), (3, -3), (4, 0)) AS x(attempt, code), (SELECT NULL::VARCHAR AS id, NULL::VARCHAR AS name)
+    UNION ALL SELECT NULL, NULL, CAST(n_nationkey AS VARCHAR), CASE WHEN n_nationkey = 3 THEN 'Renamed' ELSE n_name END FROM nation
+    UNION ALL SELECT * FROM (VALUES (NULL, NULL, '100', NULL), (NULL, NULL, '101', NULL)) AS y""",
+)
+def unique_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name that exists is refused on insert and update; NULLs never clash."""
+    engine = Engine(spark, scratch_dir(spark, "db"))
+    engine.sql("CREATE TABLE n (id INT PRIMARY KEY, name VARCHAR(25) UNIQUE);")
+    engine.insert_df("n", _table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    one, two = (engine.get_by_pk("n", k).name for k in (1, 2))
+    found = _refusals(
+        spark, engine, f"INSERT INTO n VALUES (99, '{one}');", "INSERT INTO n VALUES (100, NULL);", "INSERT INTO n VALUES (101, NULL);",
+        f"UPDATE n SET name = '{two}' WHERE id = 3;", "UPDATE n SET name = 'Renamed' WHERE id = 3;",
+    )
+    return _with(found, engine.table("n"), "id", "name")
+
+
+@_query(
+    "not_null_check",
+    """SELECT * FROM (VALUES (0, -6), (1, -6), (2, -6), (3, 0)) AS x(attempt, code), (SELECT NULL::VARCHAR AS r_regionkey, NULL::VARCHAR AS r_name)
+    UNION ALL SELECT NULL, NULL, CAST(r_regionkey AS VARCHAR), r_name FROM region UNION ALL SELECT NULL, NULL, '7', 'seven'""",
+)
+def not_null_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _loaded(spark, sf_dir, REGION)
+    found = _refusals(
+        spark, engine, "INSERT INTO region VALUES (7, NULL);", "UPDATE region SET r_name = NULL WHERE r_regionkey = 1;",
+        lambda: engine.insert_df("region", spark.createDataFrame([(8, "x"), (9, None)], "r_regionkey int, r_name string")), "INSERT INTO region VALUES (7, 'seven');",
+    )
+    return _with(found, engine.table("region"), "r_regionkey", "r_name")
+
+
+@_query("duplicate_key_keeps_the_first", "SELECT * FROM (VALUES (0, 0), (1, -3), (2, 0)) AS x(attempt, code), (SELECT NULL::VARCHAR AS id, NULL::VARCHAR AS name) UNION ALL VALUES (NULL, NULL, '5', 'Alice'), (NULL, NULL, '6', 'Bob')")
+def duplicate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, scratch_dir(spark, "db"))
+    engine.sql("CREATE TABLE users (id INT PRIMARY KEY, name VARCHAR(32) NOT NULL);")
+    found = _refusals(spark, engine, "INSERT INTO users VALUES (5, 'Alice');", "INSERT INTO users VALUES (5, 'Bob');", "INSERT INTO users VALUES (6, 'Bob');")
+    return _with(found, engine.table("users"), "id", "name")
+
+
+# Several tables in a transaction, its state, closing
+
+NATION = "CREATE TABLE nation (n_nationkey INT PRIMARY KEY, n_name VARCHAR(25), n_regionkey INT);"
+_BOTH = "SELECT 'region' AS name, CAST(r_regionkey AS INT) AS id FROM region UNION ALL SELECT 'nation', CAST(n_nationkey AS INT) FROM nation"
+_CHANGES = "BEGIN; INSERT INTO region VALUES (5, 'ATLANTIS'); DELETE FROM nation WHERE n_regionkey = 2; UPDATE nation SET n_nationkey = 50 WHERE n_nationkey = 0;"
+
+
+def _both(engine: Engine) -> DataFrame:
+    return engine.table("region").select(F.lit("region").alias("name"), F.col("r_regionkey").alias("id")).union(engine.table("nation").select(F.lit("nation"), "n_nationkey"))
+
+
+@_query("txn_two_tables", "SELECT 'region' AS name, CAST(r_regionkey AS INT) AS id FROM region UNION ALL SELECT 'region', 5 UNION ALL SELECT 'nation', CAST(CASE WHEN n_nationkey = 0 THEN 50 ELSE n_nationkey END AS INT) FROM nation WHERE n_regionkey <> 2")
+def txn_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Committed together, seen from a second opening."""
+    engine = _loaded(spark, sf_dir, REGION, NATION)
+    engine.execute_script(_CHANGES + " COMMIT;")
+    return _both(Engine(spark, engine.catalog.files.root))
+
+
+@_query("txn_two_tables_rollback", _BOTH)
+def txn_two_tables_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _loaded(spark, sf_dir, REGION, NATION)
+    engine.execute_script(_CHANGES + " ROLLBACK;")
+    return _both(engine).intersectAll(_both(Engine(spark, engine.catalog.files.root)))
+
+
+@_query("close_commits", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT CAST(5 AS INT), 'ATLANTIS'")
+def close_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _loaded(spark, sf_dir, REGION)
+    engine.execute_script("BEGIN; INSERT INTO region VALUES (5, 'ATLANTIS');")
+    engine.close()
+    engine.close()
+    return Engine(spark, engine.catalog.files.root).table("region")
+
+
+@_query("txn_state", "SELECT * FROM (VALUES (0, false, 0), (1, true, 1), (2, false, 0), (3, true, 2), (4, false, 0)) AS x(step, active, id)")
+def txn_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a transaction is open, and its number; 0 is none."""
+    engine = Engine(spark, scratch_dir(spark, "db"))
+    steps = [lambda: None, engine.begin, engine.commit, engine.begin, engine.rollback]
+    rows = [(k, engine.in_transaction, engine.txn_id) for k, step in enumerate(steps) if (step(), True)[1]]
+    return spark.createDataFrame(rows, "step int, active boolean, id int")
+
+
+# Scans row by row
+
+
+@_query("scan_order", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INT) AS position, CAST(n_nationkey AS INT) AS n_nationkey FROM nation")
+def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that came in another order, by single inserts and in bulk, as a scan gives them."""
+    engine = Engine(spark, scratch_dir(spark, "db"))
+    engine.sql(NATION)
+    nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    engine.insert_rows("nation", [tuple(r) for r in nation.where("n_nationkey % 3 = 0").orderBy(F.desc("n_nationkey")).collect()])
+    engine.insert_df("nation", nation.where("n_nationkey % 3 > 0").orderBy(F.desc("n_nationkey")))
+    return spark.createDataFrame([(k, r.n_nationkey) for k, r in enumerate(engine.rows("nation"), 1)], "position int, n_nationkey int")
+
+
+@_query("scan_early_exit", "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS INT) AS position, CAST(o_orderkey AS INT) AS o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7")
+def scan_early_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that is left after seven rows, which is what this query is about."""
+    found = []
+    for r in _loaded(spark, sf_dir, ORDERS).rows("orders"):
+        found.append((len(found) + 1, r.o_orderkey))
+        if len(found) == 7:
+            break
+    return spark.createDataFrame(found, "position int, o_orderkey int")
+
+
+@_query("scan_modify", "SELECT CASE WHEN r_regionkey % 2 = 0 THEN CAST(r_regionkey + 100 AS INT) ELSE r_regionkey END AS r_regionkey, r_name FROM region WHERE r_regionkey <> 3")
+def scan_modify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row that a scan is at is changed or deleted; the scan goes on over what was there when it began."""
+    engine = _loaded(spark, sf_dir, REGION)
+    for r in engine.rows("region"):
+        if r.r_regionkey % 2 == 0:
+            engine.update("region", r.r_regionkey, r.r_regionkey + 100, r.r_name)
+        elif r.r_regionkey == 3:
+            engine.delete("region", 3)
+    return engine.table("region")
+
+
+# The catalog
+
+
+@_query("drop_and_create", "SELECT CAST(n_nationkey AS INT) AS k, n_name AS v FROM nation WHERE n_nationkey < 5 UNION ALL SELECT -4, 'dropped twice' UNION ALL SELECT -2, 'not there'")
+def drop_and_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of the dropped one's name has other columns and none of its rows."""
+    engine = _loaded(spark, sf_dir, REGION)
+    engine.sql("DROP TABLE region;")
+    seen = _refusals(spark, engine, "SELECT * FROM region;", "DROP TABLE region;")
+    engine.sql("CREATE TABLE region (k INT PRIMARY KEY, v VARCHAR(25));")
+    engine.insert_df("region", _table(spark, sf_dir, "nation").where("n_nationkey < 5").select("n_nationkey", "n_name"))
+    told = seen.select((F.col("code") * (F.col("attempt") + 1)).alias("k"), F.when(F.col("attempt") == 0, "not there").otherwise("dropped twice").alias("v"))
+    return Engine(spark, engine.catalog.files.root).table("region").union(told)
+
+
+@_query("catalog_remove", "SELECT * FROM (VALUES ('a'), ('c'), ('d')) AS x(name)")
+def catalog_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that a second opening finds."""
+    engine = Engine(spark, scratch_dir(spark, "db"))
+    for name in "abc":
+        engine.sql(f"CREATE TABLE {name} (id INT PRIMARY KEY);")
+    engine.catalog.remove("b")
+    engine.sql("CREATE TABLE d (id INT PRIMARY KEY);")
+    return spark.createDataFrame([(x,) for x in Engine(spark, engine.catalog.files.root).tables()], "name string")
+
+
+_COLUMNS = "position int, name string, type string, max_len int, scale int, not_null boolean, primary_key boolean, is_unique boolean, auto_increment boolean, has_default boolean, default_value string, labels string, width int"
+
+
+def _described(spark: SparkSession, schema: TableSchema) -> DataFrame:
+    rows = []
+    for k, c in enumerate(schema.columns):
+        default = str(c.default) if c.has_default else None
+        rows.append((k, c.name, c.type, c.max_len, c.scale, c.not_null, c.primary_key, c.unique, c.auto_increment, c.has_default, default, ",".join(c.labels), c.width))
+    for k, f in enumerate(schema.foreign_keys):
+        rows.append((100 + k, f.name, "FOREIGN KEY", 0, 0, False, False, False, False, False, None, f"{f.column} -> {f.ref_table}.{f.ref_column}", 0))
+    rows.append((200, schema.name, "ROW", 0, 0, False, False, False, False, False, str(schema.next_id), "", schema.row_width))
+    return spark.createDataFrame(rows, _COLUMNS)
+
+
+@_query(
+    "schema_round_trip",
+    """SELECT * FROM (VALUES
+    (0, 'id', 'INT', 0, 0, true, true, false, true, false, NULL, '', 4), (1, 'username', 'VARCHAR', 50, 0, true, false, true, false, false, NULL, '', 52),
+    (2, 'score', 'DECIMAL', 10, 2, false, false, false, false, true, '0.00', '', 8), (3, 'active', 'BOOL', 0, 0, false, false, false, false, true, 'True', '', 1),
+    (4, 'status', 'ENUM', 0, 0, false, false, false, false, true, '0', 'active,inactive,pending', 1), (5, 'since', 'DATE', 0, 0, false, false, false, false, false, NULL, '', 4),
+    (6, 'at', 'DATETIME', 0, 0, false, false, false, false, false, NULL, '', 8), (7, 'region', 'INT', 0, 0, false, false, false, false, false, NULL, '', 4),
+    (100, 'fk_region', 'FOREIGN KEY', 0, 0, false, false, false, false, false, NULL, 'region -> region.r_regionkey', 0), (200, 'products', 'ROW', 0, 0, false, false, false, false, false, '10', '', 82))
+    AS x(position, name, type, max_len, scale, not_null, primary_key, is_unique, auto_increment, has_default, default_value, labels, width)""",
+)
+def schema_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, constraints, defaults, labels, foreign keys, counter and row width, as a second opening has them."""
+    columns = (
+        ColumnDef("id", t.INT, primary_key=True, auto_increment=True),
+        ColumnDef("username", t.VARCHAR, 50, not_null=True, unique=True),
+        ColumnDef("score", t.DECIMAL, 10, 2, has_default=True, default=0),
+        ColumnDef("active", t.BOOL, has_default=True, default=True),
+        ColumnDef("status", t.ENUM, labels=("active", "inactive", "pending"), has_default=True, default=0),
+        ColumnDef("since", t.DATE),
+        ColumnDef("at", t.DATETIME),
+        ColumnDef("region", t.INT),
+    )
+    engine = Engine(spark, scratch_dir(spark, "db"))
+    engine.create_table(TableSchema("products", columns, (ForeignKey("fk_region", "region", "region", "r_regionkey"),), next_id=10))
+    return _described(spark, Engine(spark, engine.catalog.files.root).schema("products"))
+
+
+@_query("foreign_key_audit", "SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation WHERE n_regionkey IN (1, 3)")
+def foreign_key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign keys are not enforced: rows whose counterpart has gone are found afterwards."""
+    engine = _loaded(spark, sf_dir, REGION)
+    engine.sql("CREATE TABLE nation (n_nationkey INT PRIMARY KEY, n_name VARCHAR(25), n_regionkey INT REFERENCES region(r_regionkey));")
+    engine.insert_df("nation", _table(spark, sf_dir, "nation").select(*engine.schema("nation").names))
+    engine.sql("DELETE FROM region WHERE r_regionkey = 1;")
+    engine.sql("DELETE FROM region WHERE r_regionkey = 3;")
+    return engine.orphans("nation")
+
+
+# Statements as text, the prompt
+
+
+@_query(
+    "statement_text",
+    """SELECT * FROM (VALUES
+    (0, 0, 'select from a'), (0, 1, '  columns: x, b.y'), (0, 2, '  left join b on a.id = b.id'), (0, 3, '  where x > 5'),
+    (1, 0, 'create table t'), (1, 1, '  id: INT, primary key'), (1, 2, '  name: VARCHAR'), (2, 0, 'insert into t'), (2, 1, '  values: 1, two'),
+    (3, 0, 'update t'), (3, 1, '  set name = x'), (3, 2, '  where id = 1'), (4, 0, 'delete from t'), (5, 0, 'drop table t'), (6, 0, 'transaction: begin'))
+    AS x(statement, line, said)""",
+)
+def statement_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parser understood, line by line, through the facade."""
+    engine = Engine(spark, scratch_dir(spark, "db"))
+    statements = [
+        "SELECT x, b.y FROM a LEFT JOIN b ON a.id = b.id WHERE x > 5;", "CREATE TABLE t (id INT PRIMARY KEY, name VARCHAR(9));", "INSERT INTO t VALUES (1, 'two');",
+        "UPDATE t SET name = 'x' WHERE id = 1;", "DELETE FROM t;", "DROP TABLE t;", "BEGIN;",
+    ]
+    rows = [(n, k, line) for n, sql in enumerate(statements) for k, line in enumerate(engine.parse_query(sql).describe().split("\n"))]
+    return spark.createDataFrame(rows, "statement int, line int, said string")
+
+
+@_query("prompt_session", "SELECT * FROM (VALUES (0, 'created'), (1, 'inserted: 1'), (2, 'inserted: 1'), (3, 'id | name'), (4, '1 | Ada'), (5, '2 | NULL'), (6, 'rows: 2')) AS x(line, said)")
+def prompt_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements over several lines, two on one line, an error that ends neither, and an exit in the middle of one."""
+    engine, out, err = Engine(spark, scratch_dir(spark, "db")), io.StringIO(), io.StringIO()
+    lines = ["CREATE TABLE u", "(id INT PRIMARY KEY, name VARCHAR(9));", "INSERT INTO u VALUES (2, NULL); INSERT INTO u VALUES (1, 'Ada');", "NONSENSE;", "SELECT *", "FROM u;", "DROP TABLE", "exit", "u;"]
+    session(engine, lines, out, err)
+    if "Syntax Error" not in err.getvalue():
+        raise AssertionError("the error was not told")
+    return spark.createDataFrame(list(enumerate(out.getvalue().strip().split("\n"))), "line int, said string")
 
 
 # Integer forms
@@ -214,6 +479,12 @@ _query("datetime_decode", "SELECT event_id, date_trunc('second', ts) AS v FROM e
 _query("decimal_encode", "SELECT p_partkey, CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS v FROM part")(
     lambda spark, sf_dir: _table(spark, sf_dir, "part").select("p_partkey", t.decimal_to_int(F.col("p_retailprice")).alias("v"))
 )
+_query("decimal_decode", "SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18,2)) AS v FROM part")(
+    lambda spark, sf_dir: _table(spark, sf_dir, "part").select("p_partkey", t.int_to_decimal(t.decimal_to_int(F.col("p_retailprice"))).alias("v"))
+)
+_query("enum_decode", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F','O') THEN o_orderstatus END AS v FROM orders")(
+    lambda spark, sf_dir: _table(spark, sf_dir, "orders").select("o_orderkey", t.int_to_enum(t.enum_to_int(F.col("o_orderstatus"), ("F", "O", "P")), ("F", "O")).alias("v"))
+)
 _query("varchar_trunc", "SELECT CAST(c_custkey AS INT) AS c_custkey, substring(c_name, 1, 10) AS c_name FROM customer")(
     lambda spark, sf_dir: _loaded(spark, sf_dir, "CREATE TABLE customer (c_custkey INT PRIMARY KEY, c_name VARCHAR(10));").table("customer")
 )

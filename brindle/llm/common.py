@@ -28,7 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Kept:
-    """A table written to the shared folder: it cuts lineage and survives lost executors. `by`: a folder for each value."""
+    """A table written to the shared folder: it cuts lineage and survives lost executors. `by`: a folder for each value.
+
+    It is deleted by drop(), at the end of passing(), or else when the driver ends.
+    """
 
     _passing: list[Kept] | None = None
 
@@ -40,10 +43,16 @@ class Kept:
         writer = df.write.option("compression", "zstd").options(**options)
         (writer.partitionBy(*by) if by else writer).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        path, files = self._place()
+        files.deleteOnExit(path)
 
-    def drop(self) -> None:
+    def _place(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def drop(self) -> None:
+        path, files = self._place()
+        files.delete(path, True)
 
     @classmethod
     @contextmanager

@@ -42,7 +42,7 @@ def words_in(text: Column) -> Column:
 
 
 def measures(text: Column) -> list[Column]:
-    """Of a text: shares of signs, capitals, digits and line ends, characters a word, and the share of different words."""
+    """Of a text: shares of signs and of capitals, characters a word, and the share of different words."""
     text = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(text), F.lit(1)).cast("double")
     share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / n
@@ -50,8 +50,6 @@ def measures(text: Column) -> list[Column]:
     return [
         share(r"""|#$%&*!{}<>=~^\@+_[]"""),
         share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        share("0123456789"),
-        share("\n"),
         F.least(n / F.greatest(F.size(words), F.lit(1)), F.lit(50.0)) / 50,
         F.size(F.array_distinct(words)) / F.size(words),
     ]

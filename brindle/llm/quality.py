@@ -141,19 +141,20 @@ class Model:
     """Learned weights, projection, and the labelled vectors that vote."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, dims: int = DIMS, k: int = K, power: int = POWER):
-        # One order for the sample, however its rows came.
+        # One order for the sample, however its rows came. The one copy of the counts is worked on in place.
         order = np.lexsort((np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in counts], dtype=np.uint64), labels))
-        counts, labels = counts[order], labels[order]
-        self.labels, self.k, self.power = labels.astype(np.float64), k, power
-        damped = self._damp(counts)
-        self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-        weighted = self._unit(damped * self.idf)
-        if len(counts):
-            values, vectors = np.linalg.eigh(weighted @ weighted.T)
-            best = np.argsort(-values)[: min(dims, len(counts))]
+        x, self.labels, self.k, self.power = counts[order].astype(np.float32, copy=False), labels[order].astype(np.float64), k, power
+        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+        if len(x):
+            x /= np.maximum(1, x.sum(axis=1, keepdims=True))
+            np.sqrt(x, out=x)
+            x *= self.idf
+            x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+            values, vectors = np.linalg.eigh(x @ x.T)
+            best = np.argsort(-values)[: min(dims, len(x))]
             best = best[values[best] > 1e-6]
-            self.project = (weighted.T @ (vectors[:, best] / np.sqrt(values[best]))).astype(np.float32)
-            self.vectors = self._unit(weighted @ self.project)
+            self.project = (x.T @ (vectors[:, best] / np.sqrt(values[best]))).astype(np.float32)
+            self.vectors = self._unit(x @ self.project)
 
     @staticmethod
     def _damp(counts: np.ndarray) -> np.ndarray:
@@ -199,7 +200,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     counts = np.zeros((rows.num_rows, FEATURES), dtype=np.float32)
     for i, (at, n) in enumerate(zip(rows.column("at"), rows.column("n"))):
         counts[i, at.values.to_numpy()] = n.values.to_numpy()
-    return Model(counts, rows.column("label").to_numpy().astype(np.float32))
+    labels = rows.column("label").to_numpy().astype(np.float32)
+    del rows
+    return Model(counts, labels)
 
 
 def score(docs: DataFrame, model: Model, parts: int = 3, held_out: int = 1) -> DataFrame:

@@ -75,6 +75,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_row_each(docs: DataFrame, gone: DataFrame, several: DataFrame) -> DataFrame:
+    """The documents but for those in gone, and one row of each in several; both have _id and _key, xxhash64 of the text.
+
+    They are kept first, so that their sizes are known: documents are shuffled only where those that go are many.
+    """
+    same = lambda d: docs["doc_id"].eqNullSafe(d["_id"]) & (F.xxhash64(docs["text"]) == d["_key"])
+    several = Kept(several.select("_id", "_key").distinct(), "several").df
+    gone, again = gone.select("_id", "_key"), None
+    if not several.isEmpty():
+        # They all leave the first part, and one row of each makes the second.
+        gone = gone.union(several)
+        own = docs.join(several, same(several), "left_semi")
+        whole = own.select(F.struct(*[own[c] for c in own.columns]).alias("_doc"), own["doc_id"].alias("_id"), F.xxhash64(own["text"]).alias("_key"))
+        again = whole.dropDuplicates(["_id", "_key"]).select("_doc.*")  # whatever else the columns are called
+    gone = Kept(gone.distinct(), "gone").df
+    stay = docs.join(gone, same(gone), "left_anti")
+    return stay.union(again) if again is not None else stay
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts (-1 for a null id): the held-out folds."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(-1))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, raw, slices, table
+from .common import Kept, one_row_each, raw, slices, table
 
 #: What a bucket holds at most, unless all its entries have one hash.
 BUCKET_BYTES = 32 << 20
@@ -235,23 +235,13 @@ def kept_documents(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
         found = Kept(found, "verdicts")
         tables.remove(found)
     found = found.df
-    several = found.where("kept").groupBy("_id", "sha").agg(F.min("_row").alias("_row"), F.count("*").alias("n")).where("n > 1")
-    several = Kept(several, "several").df
-    gone = found.where("not kept").select("_id", "_row")
-    again = None
-    same = lambda d: docs["doc_id"].eqNullSafe(d["_id"]) & (F.xxhash64(docs["text"]) == d["_row"])
-    if not several.isEmpty():
-        # Rows that share id and text: all of them leave the first part, one of them makes the second.
-        rows = several.select(F.col("_id").alias("i2"), F.col("sha").alias("s2"))
-        rows = found.where("kept").join(rows, F.col("_id").eqNullSafe(F.col("i2")) & (F.col("sha") == F.col("s2"))).select("_id", "_row")
-        gone = gone.union(rows)
-        own = docs.join(several, same(several), "left_semi")
-        whole = own.select(F.struct(*[own[c] for c in own.columns]).alias("_doc"), own["doc_id"].alias("_id"), F.xxhash64(own["text"]).alias("_row"))
-        again = whole.dropDuplicates(["_id", "_row"]).select("_doc.*")
-    # Kept, so that its size is known: documents are shuffled only where those that go are many.
-    gone = Kept(gone.distinct(), "gone").df
-    stay = docs.join(gone, same(gone), "left_anti")
-    return stay.union(again) if again is not None else stay
+    one = found.where("kept").groupBy("_id", "sha").agg(F.min("_row").alias("_key"), F.count("*").alias("n")).where("n > 1")
+    one = Kept(one, "repeated").df
+    # Of rows that share id and text the one with the smallest hash of the text as it is, once.
+    rows = one.select(F.col("_id").alias("i2"), F.col("sha").alias("s2"), F.col("_key").alias("stays"))
+    rows = found.where("kept").join(rows, F.col("_id").eqNullSafe(F.col("i2")) & (F.col("sha") == F.col("s2"))).where("_row <> stays")
+    gone = found.where("not kept").select("_id", F.col("_row").alias("_key")).union(rows.select("_id", "_row"))
+    return one_row_each(docs, gone, one)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ bits than the sets differ in shingles). Each pair that is left is verified with
 missed and none is linked that is less similar.
 
 Defined results: texts are compared by words in lower case (ASCII); fewer than five words are one shingle, no
-words (null, empty, blanks) are one set; a null doc_id counts as larger than all others; equal rows stay or go
-together; an empty table gives an empty result.
+words (null, empty, blanks) are one set; a null doc_id counts as larger than all others; of equal rows one
+stays if they do; an empty table gives an empty result. A text of any length is compared by its whole set.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, raw, slices
+from .common import Kept, one_row_each, raw, slices
 from .components import components
 from .simhash import majority, near_links
 
@@ -287,9 +287,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
         keep = named.groupBy("component").agg(F.min("rep").alias("r"), F.sum("n").alias("rows")).where("rows > 1")
         keep = keep.select(F.col("component").alias("c2"), F.col("r.doc_id").alias("keep_id"), F.col("r.tkey").alias("keep_key"))
         keep = named.join(keep, F.col("component") == F.col("c2")).select(F.col("sig").alias("s2"), "keep_id", "keep_key")
-        gone = prints.join(keep, F.col("sig") == F.col("s2")).where(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("tkey") == F.col("keep_key"))))
-        # Kept, so that its size is known: documents are shuffled only where those that go are many.
-        gone = Kept(gone.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")).distinct(), "gone")
-        tables.remove(gone)
-    gone = gone.df
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_tkey"]), "left_anti")
+        met = prints.join(keep, F.col("sig") == F.col("s2")).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "keep_id", "keep_key")
+        stays = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_key") == F.col("keep_key"))
+        met = Kept(met.groupBy("_id", "_key", stays.alias("stays")).count(), "met")
+        tables.remove(met)
+    met = met.df
+    return one_row_each(docs, met.where("not stays"), met.where("stays and count > 1"))

@@ -99,3 +99,13 @@ def test_unrelated_texts_without_or_with_one_id(spark):
     got = sorted(((r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_components(df).collect()), key=str)
     assert found[0] == found[1] != found[2]
     assert got == sorted(((prints[k], None if least[found[k]] == last else least[found[k]]) for k in prints), key=str)
+
+
+def test_long_texts_are_taken_whole(monkeypatch):
+    """Chunks of hashes add up: with chunks of 50 as with one, against the brute force."""
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(40_000))
+    whole = simhash.fingerprint(text.encode())
+    assert whole == brute_print(text)
+    monkeypatch.setattr(simhash, "_CHUNK", 50)
+    assert simhash.fingerprint(text.encode()) == whole

@@ -125,3 +125,21 @@ def process_cache() -> dict:
     import sys
 
     return sys.__dict__.setdefault("_brindle_cache", {})
+
+
+def sent(spark: SparkSession, kind: str, value):
+    """Broadcasts a value of this package's classes -> a function that gives it in a worker, which need not have the
+    package. A process keeps one value of each kind."""
+    import pickle
+
+    from pyspark import cloudpickle
+
+    holder, number = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def get():
+        held = process_cache()
+        if held.get(("sent", kind), (None,))[0] != number:
+            held["sent", kind] = (number, pickle.loads(holder.value))
+        return held["sent", kind][1]
+
+    return get

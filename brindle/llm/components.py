@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Kept
 
+#: Links that one task labels by itself; some 100 MB while it does.
+ONE_TASK = 1 << 20
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+
+def labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links -> nodes, and the smallest node that each reaches: roots hang on smaller roots until no link has two."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while True:
+        x, y = up[a], up[b]
+        two = x != y
+        if not two.any():
+            return nodes, nodes[up]
+        np.minimum.at(up, np.maximum(x, y)[two], np.minimum(x, y)[two])
+        while (higher := up[up]).tobytes() != up.tobytes():
+            up = higher
+
+
+def _labelled(batches):
+    held = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
+    if held:
+        node, component = labels(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(component)], names=["node", "component"])
+
+
+def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(a, b) links of longs -> (node, component), the smallest node reachable; nodes without links are left out.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014). A step groups by node with partial
-    sums and joins the minima back, so a node with many links is a skewed join, which is split, never a
-    list in one task. Each round's links are a table in the shared folder; the one before is deleted.
+    Up to one_task links are labelled by one task. Beyond that large-star and small-star steps alternate (Kiveris et
+    al., 2014), with the same result. A step groups by node with partial sums and joins the minima back, so a node
+    with many links is a skewed join, which is split, never a list in one task. Each round's links are a table in
+    the shared folder; the one before is deleted.
     """
     links = lambda d: d.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     kept = Kept(links(edges), "links")
+    if kept.df.count() <= one_task:
+        return kept.df.coalesce(1).mapInArrow(_labelled, "node long, component long")
     state = None
     for _ in range(rounds):
         e = kept.df

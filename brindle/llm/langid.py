@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, fold, raw, slices, table
+from .common import Kept, fold, raw, sent, slices, table
 
 DOCS = 100
 STRETCH = 25
@@ -293,11 +293,11 @@ def learn(docs: DataFrame, parts: int = 4, held_out: int = 2, most: int = DOCS)
 
 def identify(docs: DataFrame, model: Model, parts: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    told = sent(docs.sparkSession, "langid", model)
 
     def run(batches):
         for batch in slices(batches, most=4 << 20):
-            langs, scores = sent.value.predict(raw(batch.column(1)))
+            langs, scores = told().predict(raw(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"]
             )
@@ -308,10 +308,10 @@ def identify(docs: DataFrame, model: Model, parts: int = 4, held_out: int = 2) -
 
 def label_words(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each word: doc_id, start and end (in characters), lang_pred, probability; none where identify says `und`."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    told = sent(docs.sparkSession, "langid", model)
 
     def run(batches):
-        model = sent.value
+        model = told()
         for batch in slices(batches, most=1 << 20):
             texts = raw(batch.column(1))
             if not model.langs:

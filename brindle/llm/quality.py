@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, process_cache, raw, slices, table
+from .common import fold, process_cache, raw, sent, slices, table
 
 SAMPLE = 1024
 DIMS = 64
@@ -207,12 +207,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
 
 def score(docs: DataFrame, model: Model, parts: int = 3, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    told = sent(docs.sparkSession, "quality", model)
 
     def run(batches):
         for batch in slices(batches, most=2 << 20):
             texts = raw(batch.column(1))
-            s = np.concatenate([sent.value.score(np.stack([marks(x) for x in texts[k : k + 256]])) for k in range(0, len(texts), 256)])
+            s = np.concatenate([told().score(np.stack([marks(x) for x in texts[k : k + 256]])) for k in range(0, len(texts), 256)])
             s = np.clip(s, 0.0, 1.0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
@@ -224,13 +224,13 @@ def score(docs: DataFrame, model: Model, parts: int = 3, held_out: int = 1) -> D
 
 def good_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are predicted to be good, with all their columns; no row is shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    told = sent(docs.sparkSession, "quality", model)
     where = docs.columns.index("text")
 
     def run(batches):
         for batch in slices(batches, most=2 << 20):
             texts = raw(batch.column(where))
-            s = np.concatenate([sent.value.score(np.stack([marks(x) for x in texts[k : k + 256]])) for k in range(0, len(texts), 256)])
+            s = np.concatenate([told().score(np.stack([marks(x) for x in texts[k : k + 256]])) for k in range(0, len(texts), 256)])
             yield batch.filter(pa.array(s >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -240,7 +240,17 @@ def _groups(docs: DataFrame, words: int, cell: int) -> tuple[DataFrame, DataFram
     left = left.join(found, F.col("sig") == F.col("node"), "left").select("key", "m", "first", "sig", F.coalesce("component", "sig").alias("comp"))
     left = Kept(left, "left").df
     apart = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("k2"))
-    left = left.join(apart, F.col("key") == F.col("k2"), "left_semi")
+    apart = Kept(apart, "apart").df
+    if not apart.isEmpty():
+        more = _similar(docs, reps, _pairs_across(left.join(apart, F.col("key") == F.col("k2"), "left_semi"), reps, cell), words)
+        if not more.isEmpty():
+            found = components(links.union(more))
+    named = reps.join(found, F.col("sig") == F.col("node"), "left").select("sig", "rep", "n", F.coalesce("component", "sig").alias("component"))
+    return prints.select("doc_id", "tkey", "sig"), named
+
+
+def _pairs_across(left: DataFrame, reps: DataFrame, cell: int) -> DataFrame:
+    """Members of cells (key, m, first, sig, comp) -> pairs of different components, cells beyond `cell` block against block."""
     left = left.join(reps.select(F.col("sig").alias("s2"), "size", "bits"), F.col("sig") == F.col("s2"))
     left = left.withColumn("blocks", F.ceil(F.col("m") / cell).cast("int")).withColumn("block", F.pmod(F.xxhash64("sig", F.lit(5)), F.col("blocks")).cast("int"))
     left = left.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -249,12 +259,7 @@ def _groups(docs: DataFrame, words: int, cell: int) -> tuple[DataFrame, DataFram
         "sig", "comp", "size", (F.col("sig") == F.col("first")).cast("tinyint").alias("first"),
         F.expr("cast(block > against as tinyint)").alias("side"), "bits",
     )
-    pairs = left.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
-    more = _similar(docs, reps, pairs, words)
-    if not more.isEmpty():
-        found = components(links.union(more))
-    named = reps.join(found, F.col("sig") == F.col("node"), "left").select("sig", "rep", "n", F.coalesce("component", "sig").alias("component"))
-    return prints.select("doc_id", "tkey", "sig"), named
+    return left.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, words: int = WORDS, cell: int = CELL) -> DataFrame:
@@ -270,6 +275,8 @@ def _similar(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int) ->
     bits = lambda n: reps.select(F.col("sig").alias(f"s{n}"), F.col("bits").alias(f"b{n}"))
     pairs = pairs.join(bits(1), F.col("a") == F.col("s1")).join(bits(2), F.col("b") == F.col("s2"))
     pairs = Kept(pairs.where((OF + PER) * _apart(F.col("b1"), F.col("b2")) <= (PER - OF) * F.col("n")).select("a", "b"), "pairs").df
+    if pairs.isEmpty():
+        return pairs
     need = pairs.select("a").union(pairs.select("b")).distinct()
     # Kept, so that its size is known: texts are met by broadcast where these hashes are few, else by a shuffle.
     texts = Kept(reps.join(need, F.col("sig") == F.col("a"), "left_semi").select(F.col("rep.tkey").alias("_tkey")).distinct(), "texts").df

@@ -134,6 +134,26 @@ def _link_cells(bits: int):
     return run
 
 
+def _split(over: DataFrame, cell: int) -> DataFrame:
+    """Cells beyond the limit (cell, fp, rep) by a byte of what may still differ, and block against block where that is not enough."""
+    other = F.when(F.shiftrightunsigned("cell", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
+    byte = F.posexplode(F.array(*[F.shiftrightunsigned(other, 8 * i).bitwiseAND(0xFF) for i in range(4)]))
+    parts = over.select("cell", "fp", "rep", byte.alias("i", "v"))
+    parts = parts.withColumn("key", F.xxhash64("cell", "i", "v"))
+    count = parts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    parts = parts.join(count.select(F.col("key").alias("k2"), "m"), F.col("key") == F.col("k2")).select("key", "fp", "rep", "m")
+    medium = parts.where(F.col("m") <= cell).select("key", "fp", "rep", F.lit(0).cast("tinyint").alias("side"))
+    blocks = F.ceil(F.col("m") / cell).cast("int")
+    block = F.pmod(F.xxhash64("fp", F.lit(5)), blocks).cast("int")
+    big = parts.where(F.col("m") > cell).withColumn("blocks", blocks).withColumn("block", block)
+    big = big.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    big = big.select(
+        F.xxhash64("key", F.least("block", "against"), F.greatest("block", "against")).alias("key"),
+        "fp", "rep", F.expr("cast(block > against as tinyint)").alias("side"),
+    )
+    return medium.union(big)
+
+
 def near_links(reps: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame:
     """(fp, rep), distinct fingerprints with an id each -> (a, b) ids, links that span every group within 3 bits."""
     if bits != 3:
@@ -157,22 +177,8 @@ def near_links(reps: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame
     met = probes.join(sizes.select(F.col("cell").alias("c2"), "n"), F.col("cell") == F.col("c2")).select("cell", "n", "fp", "rep")
     met = Kept(met, "cells").df
     small = met.where(F.col("n") <= cell).select(F.col("cell").alias("key"), "fp", "rep", F.lit(0).cast("tinyint").alias("side"))
-    other = F.when(F.shiftrightunsigned("cell", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
-    byte = F.posexplode(F.array(*[F.shiftrightunsigned(other, 8 * i).bitwiseAND(0xFF) for i in range(4)]))
-    parts = met.where(F.col("n") > cell).select("cell", "fp", "rep", byte.alias("i", "v"))
-    parts = parts.withColumn("key", F.xxhash64("cell", "i", "v"))
-    count = parts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    parts = parts.join(count.select(F.col("key").alias("k2"), "m"), F.col("key") == F.col("k2")).select("key", "fp", "rep", "m")
-    medium = parts.where(F.col("m") <= cell).select("key", "fp", "rep", F.lit(0).cast("tinyint").alias("side"))
-    blocks = F.ceil(F.col("m") / cell).cast("int")
-    block = F.pmod(F.xxhash64("fp", F.lit(5)), blocks).cast("int")
-    big = parts.where(F.col("m") > cell).withColumn("blocks", blocks).withColumn("block", block)
-    big = big.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    big = big.select(
-        F.xxhash64("key", F.least("block", "against"), F.greatest("block", "against")).alias("key"),
-        "fp", "rep", F.expr("cast(block > against as tinyint)").alias("side"),
-    )
-    rows = small.union(medium).union(big)
+    over = met.where(F.col("n") > cell)
+    rows = small if over.isEmpty() else small.union(_split(over, cell))
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_link_cells(bits), "a long, b long")
 
 

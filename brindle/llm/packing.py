@@ -35,8 +35,10 @@ CLOSE = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces packed together, about.
 GROUP = 40_000
-#: Chunks of which a task begins its memory anew, keeping those before for once: some 60 MB.
-REMEMBER = 150_000
+#: Chunks of which a task begins its memory anew, keeping those before for once: some 60 MB; pieces of words: 80 MB.
+REMEMBER, PIECES_KEPT = 150_000, 400_000
+#: Signs that no piece has together with letters; an apostrophe may begin one.
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
@@ -75,7 +77,8 @@ class Chunks(dict):
         """What was met since the last time is kept once more; so frequent chunks stay and rare ones go."""
         self.old, self.old_ids, self.old_ends = dict(self), getattr(self, "ids", None), getattr(self, "ends", None)
         self.clear()
-        self.pieces.clear()
+        if len(self.pieces) > PIECES_KEPT:
+            self.pieces.clear()
         self.ids = array("I")
         self.ends = array("q", [0])
 
@@ -107,7 +110,9 @@ class Chunks(dict):
         if not latin or len(chunk) > 1000 or ("<|" in chunk and any(s in chunk for s in self.special)):
             self.ids.extend(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
             return
-        for piece in self.split(chunk.lower()):
+        head = chunk.rstrip(_SIGNS)
+        # A word and then signs are two pieces; the pattern says so at a greater length.
+        for piece in (head.lower(), chunk[len(head) :]) if head.isalpha() and len(head) < len(chunk) else self.split(chunk.lower()):
             ids = self.pieces.get(piece)
             self.ids.frombytes(self.word(piece) if ids is None else ids)
 

@@ -108,3 +108,17 @@ def test_equal_rows_spread_over_groups(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_chunks_forget_and_know_again(monkeypatch):
+    """Words with signs of all kinds, with a memory that begins anew again and again, against whole texts."""
+    monkeypatch.setattr(packing, "REMEMBER", 20)
+    monkeypatch.setattr(packing, "PIECES_KEPT", 30)
+    rng = np.random.default_rng(6)
+    words = ["Word", "naïve", "don't", "rock'n'roll", "x1", "42", "µm", "'s", "ÄÖ", "a-b", "<|x|>"] + [f"w{'abcdef'[i % 6] * (i % 4 + 1)}" for i in range(40)]
+    signs = ["", ".", "!!", "$$$", "...'", "'", ",)", "“", "%%%", "'s", "*a*"]
+    chunks, tok = packing.Chunks(packing.vocabulary_path(packing.VOCABULARY)), tokenizer()
+    for _ in range(40):
+        texts = [" ".join(str(rng.choice(words)) + str(rng.choice(signs)) for _ in range(30)) for _ in range(3)]
+        ids, ends = chunks.encode_all(texts)
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]

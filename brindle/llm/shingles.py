@@ -2,18 +2,18 @@
 
 Operator 1 carried to that similarity. Two texts whose sets share 0.8 of their union differ in about 10 of 64
 fingerprint bits, sometimes in 20, and balls of such a radius hold most of the table; so fingerprints alone can't
-find all of these pairs. They find what lies within 3 bits: SimHash over the sets, multi-index hashing, then the
-sets themselves decide. Groups of copies are mostly told by then, at a link for each member.
-
-What that leaves apart is completed by an exact set-similarity join with prefixes. All shingles are put in one
-order; two sets of similarity s or more share at least s of the larger one, so they share a shingle among the
-first n - ceil(s n) + 1 of each. Only these go to cells, one for each shingle, and only cells with several
-components count. The order puts shingles that are frequent in a sample last, which keeps cells small; it changes
-the speed only. What meets in a cell is compared in two rounds, so that a group of m near copies costs about m
-comparisons and not m squared: first each member with the cell's first one; then only pairs that are still in
-different components, if a bound allows them (parities of the shingles' hashes over twice as many bits as shingles differ in no more
-bits than the sets differ in shingles). Each pair that is left is verified with both whole sets, so no pair is
-missed and none is linked that is less similar.
+find all of these pairs. They find what lies within 3 bits: SimHash over the sets, multi-index hashing, at most a
+link for each member of a group.
+
+That is completed by an exact set-similarity join with prefixes. All shingles are put in one order; two sets of
+similarity s or more share at least s of the larger one, so they share a shingle among the first n - ceil(s n) + 1
+of each. Only these go to cells, one for each shingle. The order puts shingles that are frequent in a sample last,
+which keeps cells small; it changes the speed only. What meets in a cell is compared in two rounds, so that a group
+of m near copies costs about m comparisons and not m squared: first each member with the cell's first one; then only
+pairs that are still in different components. A bound rules out most pairs before whole sets travel: parities of the
+shingles' hashes, over at least twice as many bits as shingles, differ in no more bits than the sets differ in
+shingles. Each pair that is left is verified with both whole sets, so no pair is missed and none is linked that is
+less similar.
 
 Defined results: texts are compared by words in lower case (ASCII); fewer than five words are one shingle, no
 words (null, empty, blanks) are one set; a null doc_id counts as larger than all others; of equal rows one
@@ -218,25 +218,21 @@ def _groups(docs: DataFrame, words: int, cell: int) -> tuple[DataFrame, DataFram
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("rep")
     same = [F.first(c).alias(c) for c in ("fp", "size", "bits")]
     reps = Kept(prints.groupBy("sig").agg(rep, F.count("*").alias("n"), *same), "reps").df
-    # Fingerprints first: what lies within their bits and is similar needs no cells.
+    # What lies within the fingerprints' bits, by multi-index hashing.
     fps = Kept(reps.groupBy("fp").agg(F.min("sig").alias("rep")), "fps").df
     own = fps.select(F.col("fp").alias("fp2"), F.col("rep").alias("a"))
     equal = reps.select("fp", F.col("sig").alias("b")).join(own, F.col("fp") == F.col("fp2")).where("a <> b").select("a", "b")
-    links = _similar(docs, reps, near_links(fps, cell=cell).union(equal), words)
-    found = Kept(components(links), "near").df
-    # What they leave apart meets in cells; a cell of one component has nothing to add.
-    # Rows with one set meet here again; cells and pairs take no notice of how often a set is there.
-    named = prints.select("sig", "keys").join(found, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("component", "sig").alias("comp"), "keys")
-    probes = named.select("sig", "comp", F.explode("keys").alias("key"))
-    sizes = probes.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    sizes = sizes.where("lo < hi").select(F.col("key").alias("k2"), "m", "first")
-    met = Kept(probes.join(sizes, F.col("key") == F.col("k2")).select("key", "m", "first", "sig", "comp"), "cells").df
-    pairs = met.where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b"), "comp").distinct()
-    pairs = pairs.join(found, F.col("a") == F.col("node"), "left").where(F.coalesce("component", "a") != F.col("comp")).select("a", "b")
-    links = links.union(_similar(docs, reps, pairs, words))
+    pairs = near_links(fps, cell=cell).union(equal)
+    # What meets in cells, each with the cell's first. Rows with one set meet again; pairs take no notice of how often a set is there.
+    probes = prints.select("sig", F.explode("keys").alias("key"))
+    sizes = probes.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("first"), F.max("sig").alias("last"))
+    sizes = sizes.where("first < last").select(F.col("key").alias("k2"), "m", "first")
+    met = Kept(probes.join(sizes, F.col("key") == F.col("k2")).select("key", "m", "first", "sig"), "cells").df
+    pairs = pairs.union(met.where("sig <> first").select("first", "sig")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _similar(docs, reps, pairs, words)
     found = Kept(components(links), "components").df
-    # The second round: cells of three or more that the links so far left apart.
-    left = met.where("m > 2").select("key", "m", "first", "sig")
+    # The second round: cells of three or more that the links left apart.
+    left = met.where("m > 2")
     left = left.join(found, F.col("sig") == F.col("node"), "left").select("key", "m", "first", "sig", F.coalesce("component", "sig").alias("comp"))
     left = Kept(left, "left").df
     apart = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("k2"))
@@ -269,12 +265,11 @@ def near_components(docs: DataFrame, words: int = WORDS, cell: int = CELL) -> Da
 
 def _similar(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """Pairs whose sizes and parities allow it and whose whole sets are similar; the sets are made again, of those texts only."""
-    size = lambda n: reps.select(F.col("sig").alias(f"s{n}"), F.col("size").alias(f"n{n}"))
-    pairs = pairs.join(size(1), F.col("a") == F.col("s1")).join(size(2), F.col("b") == F.col("s2"))
-    pairs = pairs.where(F.greatest("n1", "n2") * OF <= F.least("n1", "n2") * PER).select("a", "b", (F.col("n1") + F.col("n2")).alias("n"))
-    bits = lambda n: reps.select(F.col("sig").alias(f"s{n}"), F.col("bits").alias(f"b{n}"))
-    pairs = pairs.join(bits(1), F.col("a") == F.col("s1")).join(bits(2), F.col("b") == F.col("s2"))
-    pairs = Kept(pairs.where((OF + PER) * _apart(F.col("b1"), F.col("b2")) <= (PER - OF) * F.col("n")).select("a", "b"), "pairs").df
+    side = lambda n: reps.select(F.col("sig").alias(f"s{n}"), F.col("size").alias(f"n{n}"), F.col("bits").alias(f"b{n}"))
+    pairs = pairs.join(side(1), F.col("a") == F.col("s1")).join(side(2), F.col("b") == F.col("s2"))
+    pairs = pairs.where(F.greatest("n1", "n2") * OF <= F.least("n1", "n2") * PER)
+    pairs = pairs.where((OF + PER) * _apart(F.col("b1"), F.col("b2")) <= (PER - OF) * (F.col("n1") + F.col("n2")))
+    pairs = Kept(pairs.select("a", "b"), "pairs").df
     if pairs.isEmpty():
         return pairs
     need = pairs.select("a").union(pairs.select("b")).distinct()

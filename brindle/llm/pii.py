@@ -209,11 +209,14 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """The rows with text replaced, and counts n_email, n_secret, n_date, n_ip, n_phone, n_national, n_card."""
     text = F.col("text")
     maybe = text.rlike("[0-9@]|[0-9A-Fa-f]{32}|A(?:KI|SI)A|gh[oprsu]_|sk-|eyJ|(?i:password|passwd|secret|token|api[_-]?key) {0,2}[=:]")
+    # Each step is a projection of its own, so that the pattern runs once although two columns come from it.
     marked = F.split(F.regexp_replace(text, PATTERN, f"{MARK}$0{MARK}"), MARK)
-    every = lambda odd: F.filter(marked, lambda _, i: i % 2 == odd)
-    plain, found = (F.when(text.contains(MARK), slow).otherwise(every(odd)) for odd, slow in ((0, F.split(text, PATTERN)), (1, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))))
-    parted = docs.select(F.struct("*").alias("row"), F.when(maybe, plain).alias("plain"), F.when(maybe, found).alias("found"))
-    told = parted.select("row", "plain", F.transform("found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))).alias("found"))
+    slow = F.struct(F.split(text, PATTERN).alias("plain"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("found"))
+    has = text.contains(MARK)
+    parted = docs.select(F.struct("*").alias("row"), F.when(maybe & ~has, marked).alias("marked"), F.when(maybe & has, slow).alias("slow"))
+    every = lambda odd: F.filter("marked", lambda _, i: i % 2 == odd)
+    kinds = F.transform(F.coalesce(every(1), F.col("slow").getField("found")), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    told = parted.select("row", F.coalesce(every(0), F.col("slow").getField("plain")).alias("plain"), kinds.alias("found"))
     new = F.zip_with("plain", "found", lambda p, x: F.concat(p, F.coalesce(pseudonym(x["m"], x["kind"], key), F.lit(""))))
     new = F.when(F.exists("found", lambda x: x["kind"].isNotNull()), F.array_join(new, "")).otherwise(F.col("row").getField("text"))
     # size() of null is -1.

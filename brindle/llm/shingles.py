@@ -8,9 +8,10 @@ link for each member of a group.
 That is completed by an exact set-similarity join with prefixes. All shingles are put in one order; two sets of
 similarity s or more share at least s of the larger one, so they share a shingle among the first n - ceil(s n) + 1
 of each. Only these go to cells, one for each shingle. The order puts shingles that are frequent in a sample last,
-which keeps cells small; it changes the speed only. What meets in a cell is compared in two rounds, so that a group
-of m near copies costs about m comparisons and not m squared: first each member with the cell's first one; then only
-pairs that are still in different components. A bound rules out most pairs before whole sets travel: parities of the
+which keeps cells small; it changes the speed only. What meets in a cell is compared in three rounds, so that a group
+of m near copies costs about m comparisons and not m squared: first each member with the cell's first one; then, of
+the pairs of different components that a bound leaves, those that would span the cell; then all pairs of what is still
+apart, which the bound leaves few of. The bound rules out most pairs before whole sets travel: parities of the
 shingles' hashes, over at least twice as many bits as shingles, differ in no more bits than the sets differ in
 shingles. Each pair that is left is verified with both whole sets, so no pair is missed and none is linked that is
 less similar.
@@ -148,8 +149,15 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([a.filter(yes), b.filter(yes)], names=["a", "b"])
 
 
-def _across(batches):
-    """Rows in order of cell -> pairs in different components that may be similar; a block pair's rows carry side 0 and 1."""
+def _across(spanning: bool):
+    """Rows in order of cell -> pairs in different components that may be similar; a block pair's rows carry side 0 and 1.
+
+    Spanning: only pairs that would join what the cell's pairs before have not, at most one for each member.
+    """
+    return lambda batches: _pairs_of_cells(batches, spanning)
+
+
+def _pairs_of_cells(batches, spanning: bool):
     held_key, held, seen = None, [], set()
 
     def flush():
@@ -157,6 +165,14 @@ def _across(batches):
         two = x["side"].any() and not x["side"].all()
         x = x[np.argsort(x["side"], kind="stable")]
         other = int((x["side"] == 0).sum()) if two else 0
+        up: dict[int, int] = {}
+
+        def root(c):
+            while up.get(c, c) != c:
+                up[c] = up.get(up[c], up[c])
+                c = up[c]
+            return c
+
         for i in range(other or len(x) - 1):
             y = x[other or i + 1 :]
             y = y[y["comp"] != x["comp"][i]]
@@ -166,7 +182,14 @@ def _across(batches):
             apart = np.bitwise_count(y["bits"] ^ x["bits"][i]).sum(axis=1, dtype=np.int64)
             y = y[(OF + PER) * apart <= (PER - OF) * (y["size"] + x["size"][i])]
             s = int(x["sig"][i])
-            seen.update((min(s, t), max(s, t)) for t in y["sig"].tolist())
+            if not spanning:
+                seen.update((min(s, t), max(s, t)) for t in y["sig"].tolist())
+                continue
+            for t, c in zip(y["sig"].tolist(), y["comp"].tolist()):
+                a, b = root(int(x["comp"][i])), root(c)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    seen.add((min(s, t), max(s, t)))
 
     def out():
         rows = sorted(seen)
@@ -231,21 +254,24 @@ def _groups(docs: DataFrame, words: int, cell: int) -> tuple[DataFrame, DataFram
     pairs = pairs.union(met.where("sig <> first").select("first", "sig")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _similar(docs, reps, pairs, words)
     found = Kept(components(links), "components").df
-    # The second round: cells of three or more that the links left apart.
-    left = met.where("m > 2")
-    left = left.join(found, F.col("sig") == F.col("node"), "left").select("key", "m", "first", "sig", F.coalesce("component", "sig").alias("comp"))
-    left = Kept(left, "left").df
-    apart = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("k2"))
-    apart = Kept(apart, "apart").df
-    if not apart.isEmpty():
-        more = _similar(docs, reps, _pairs_across(left.join(apart, F.col("key") == F.col("k2"), "left_semi"), reps, cell), words)
+    # Cells of three or more that the links left apart: pairs that would span them, then all pairs of what is still apart.
+    for spanning in (True, False):
+        left = met.where("m > 2").join(found, F.col("sig") == F.col("node"), "left")
+        left = Kept(left.select("key", "m", "first", "sig", F.coalesce("component", "sig").alias("comp")), "left").df
+        apart = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("k2"))
+        apart = Kept(apart, "apart").df
+        if apart.isEmpty():
+            break
+        left = left.join(apart, F.col("key") == F.col("k2"), "left_semi")
+        more = _similar(docs, reps, _pairs_across(left, reps, cell, spanning), words)
         if not more.isEmpty():
-            found = components(links.union(more))
+            links = links.union(more)
+            found = Kept(components(links), "components").df
     named = reps.join(found, F.col("sig") == F.col("node"), "left").select("sig", "rep", "n", F.coalesce("component", "sig").alias("component"))
     return prints.select("doc_id", "tkey", "sig"), named
 
 
-def _pairs_across(left: DataFrame, reps: DataFrame, cell: int) -> DataFrame:
+def _pairs_across(left: DataFrame, reps: DataFrame, cell: int, spanning: bool) -> DataFrame:
     """Members of cells (key, m, first, sig, comp) -> pairs of different components, cells beyond `cell` block against block."""
     left = left.join(reps.select(F.col("sig").alias("s2"), "size", "bits"), F.col("sig") == F.col("s2"))
     left = left.withColumn("blocks", F.ceil(F.col("m") / cell).cast("int")).withColumn("block", F.pmod(F.xxhash64("sig", F.lit(5)), F.col("blocks")).cast("int"))
@@ -255,7 +281,7 @@ def _pairs_across(left: DataFrame, reps: DataFrame, cell: int) -> DataFrame:
         "sig", "comp", "size", (F.col("sig") == F.col("first")).cast("tinyint").alias("first"),
         F.expr("cast(block > against as tinyint)").alias("side"), "bits",
     )
-    return left.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
+    return left.repartition("key").sortWithinPartitions("key").mapInArrow(_across(spanning), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, words: int = WORDS, cell: int = CELL) -> DataFrame:

@@ -75,6 +75,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """For a side of a join that grows with the table: it is met by shuffle, whatever size Spark takes the sides for.
+
+    The size of a kept table is that of its compressed files, and an explode is taken to add no rows, so a broadcast can
+    be a hundred times as large on the driver as was thought.
+    """
+    return df.hint("merge")
+
+
 def one_row_each(docs: DataFrame, gone: DataFrame, several: DataFrame) -> DataFrame:
     """The documents but for those in gone, and one row of each in several; both have _id and _key, xxhash64 of the text.
 

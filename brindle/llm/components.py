@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept
+from .common import Kept, merged
 
 #: Links that one task labels by itself; some 100 MB while it does.
 ONE_TASK = 1 << 20
@@ -52,10 +52,10 @@ def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) ->
         e = kept.df
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = merged(both).join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = links(large)
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        small = large.join(least, F.col("a") == F.col("k"))
+        small = merged(large).join(least, F.col("a") == F.col("k"))
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
         after = Kept(links(small), "links")
         kept.drop()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, raw, slices, table
+from .common import Kept, merged, raw, slices, table
 from .components import components
 
 WORDS, BITS, SEED = 3, 3, 42
@@ -141,7 +141,7 @@ def _split(over: DataFrame, cell: int) -> DataFrame:
     parts = over.select("cell", "fp", "rep", byte.alias("i", "v"))
     parts = parts.withColumn("key", F.xxhash64("cell", "i", "v"))
     count = parts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    parts = parts.join(count.select(F.col("key").alias("k2"), "m"), F.col("key") == F.col("k2")).select("key", "fp", "rep", "m")
+    parts = merged(parts).join(count.select(F.col("key").alias("k2"), "m"), F.col("key") == F.col("k2")).select("key", "fp", "rep", "m")
     medium = parts.where(F.col("m") <= cell).select("key", "fp", "rep", F.lit(0).cast("tinyint").alias("side"))
     blocks = F.ceil(F.col("m") / cell).cast("int")
     block = F.pmod(F.xxhash64("fp", F.lit(5)), blocks).cast("int")
@@ -174,7 +174,7 @@ def near_links(reps: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame
     )
     # A cell matters if something lives in it and something else meets it there.
     sizes = probes.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 and own = 1")
-    met = probes.join(sizes.select(F.col("cell").alias("c2"), "n"), F.col("cell") == F.col("c2")).select("cell", "n", "fp", "rep")
+    met = merged(probes).join(sizes.select(F.col("cell").alias("c2"), "n"), F.col("cell") == F.col("c2")).select("cell", "n", "fp", "rep")
     met = Kept(met, "cells").df
     small = met.where(F.col("n") <= cell).select(F.col("cell").alias("key"), "fp", "rep", F.lit(0).cast("tinyint").alias("side"))
     over = met.where(F.col("n") > cell)
@@ -193,7 +193,7 @@ def near_components(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed:
     named = Kept(named, "named").df
     least = named.groupBy("c").agg(F.min("rep").alias("component_id")).withColumnRenamed("c", "c2")
     named = named.join(least, F.col("c") == F.col("c2")).select(F.col("fp").alias("fp2"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("fp2")).select(
+    return merged(prints).join(named, F.col("fp") == F.col("fp2")).select(
         "doc_id", "fp", F.nullif(F.col("component_id"), F.lit((1 << 63) - 1)).alias("component_id")
     )
 

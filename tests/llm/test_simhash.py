@@ -109,3 +109,29 @@ def test_long_texts_are_taken_whole(monkeypatch):
     assert whole == brute_print(text)
     monkeypatch.setattr(simhash, "_CHUNK", 50)
     assert simhash.fingerprint(text.encode()) == whole
+
+
+def test_what_an_explode_makes_is_not_broadcast(spark, monkeypatch):
+    """Spark takes the look-ups, some 34 for each fingerprint, for as small as the file of the fingerprints."""
+    plans = {}
+
+    class Seen(simhash.Kept):
+        def __init__(self, df, label):
+            plans[label] = df._jdf.queryExecution().executedPlan().toString()
+            super().__init__(df, label)
+
+    monkeypatch.setattr(simhash, "Kept", Seen)
+    rng = random.Random(5)
+    texts = [(i, random_text(rng, 30), "", "") for i in range(300)]
+    texts += [(1000 + i, " ".join([t, "more"]), "", "") for i, t, _, _ in texts[:50]]
+    df = spark.createDataFrame(texts, SCHEMA)
+    for cell in (simhash.CELL, 1):
+        plans.clear()
+        reps = simhash.Kept(df.selectExpr("xxhash64(text) % 5000 as fp").distinct().selectExpr("fp", "fp as rep"), "some").df
+        links = simhash.near_links(reps, cell=cell)
+        assert "SortMergeJoin" in plans["cells"] and "Broadcast" not in plans["cells"]
+        assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    found = simhash.near_components(df)
+    assert "reps" in plans and found.count() == len(texts)
+    # The documents' fingerprints are never the side that is sent, however well their file compresses.
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()

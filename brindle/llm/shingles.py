@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, one_row_each, raw, slices
+from .common import Kept, merged, one_row_each, raw, slices
 from .components import components
 from .simhash import majority, near_links
 
@@ -250,7 +250,7 @@ def _groups(docs: DataFrame, words: int, cell: int) -> tuple[DataFrame, DataFram
     probes = prints.select("sig", F.explode("keys").alias("key"))
     sizes = probes.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("first"), F.max("sig").alias("last"))
     sizes = sizes.where("first < last").select(F.col("key").alias("k2"), "m", "first")
-    met = Kept(probes.join(sizes, F.col("key") == F.col("k2")).select("key", "m", "first", "sig"), "cells").df
+    met = Kept(merged(probes).join(sizes, F.col("key") == F.col("k2")).select("key", "m", "first", "sig"), "cells").df
     pairs = pairs.union(met.where("sig <> first").select("first", "sig")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _similar(docs, reps, pairs, words)
     found = Kept(components(links), "components").df
@@ -273,7 +273,7 @@ def _groups(docs: DataFrame, words: int, cell: int) -> tuple[DataFrame, DataFram
 
 def _pairs_across(left: DataFrame, reps: DataFrame, cell: int, spanning: bool) -> DataFrame:
     """Members of cells (key, m, first, sig, comp) -> pairs of different components, cells beyond `cell` block against block."""
-    left = left.join(reps.select(F.col("sig").alias("s2"), "size", "bits"), F.col("sig") == F.col("s2"))
+    left = left.join(merged(reps).select(F.col("sig").alias("s2"), "size", "bits"), F.col("sig") == F.col("s2"))
     left = left.withColumn("blocks", F.ceil(F.col("m") / cell).cast("int")).withColumn("block", F.pmod(F.xxhash64("sig", F.lit(5)), F.col("blocks")).cast("int"))
     left = left.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select(
@@ -291,7 +291,7 @@ def near_components(docs: DataFrame, words: int = WORDS, cell: int = CELL) -> Da
 
 def _similar(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """Pairs whose sizes and parities allow it and whose whole sets are similar; the sets are made again, of those texts only."""
-    side = lambda n: reps.select(F.col("sig").alias(f"s{n}"), F.col("size").alias(f"n{n}"), F.col("bits").alias(f"b{n}"))
+    side = lambda n: merged(reps).select(F.col("sig").alias(f"s{n}"), F.col("size").alias(f"n{n}"), F.col("bits").alias(f"b{n}"))
     pairs = pairs.join(side(1), F.col("a") == F.col("s1")).join(side(2), F.col("b") == F.col("s2"))
     pairs = pairs.where(F.greatest("n1", "n2") * OF <= F.least("n1", "n2") * PER)
     pairs = pairs.where((OF + PER) * _apart(F.col("b1"), F.col("b2")) <= (PER - OF) * (F.col("n1") + F.col("n2")))
@@ -303,7 +303,7 @@ def _similar(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int) ->
     texts = Kept(reps.join(need, F.col("sig") == F.col("a"), "left_semi").select(F.col("rep.tkey").alias("_tkey")).distinct(), "texts").df
     texts = docs.select("text").join(texts, F.xxhash64("text") == F.col("_tkey"), "left_semi")
     sets = Kept(texts.mapInArrow(_sets(words), "sig long, own binary").dropDuplicates(["sig"]), "sets").df
-    x, y = (sets.select(F.col("sig").alias(f"s{n}"), F.col("own").alias(n)) for n in "xy")
+    x, y = (merged(sets).select(F.col("sig").alias(f"s{n}"), F.col("own").alias(n)) for n in "xy")
     both = pairs.join(x, F.col("a") == F.col("sx")).join(y, F.col("b") == F.col("sy")).select("a", "b", "x", "y")
     return Kept(both.mapInArrow(_verified, "a long, b long"), "similar").df
 
@@ -315,7 +315,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
         keep = named.groupBy("component").agg(F.min("rep").alias("r"), F.sum("n").alias("rows")).where("rows > 1")
         keep = keep.select(F.col("component").alias("c2"), F.col("r.doc_id").alias("keep_id"), F.col("r.tkey").alias("keep_key"))
         keep = named.join(keep, F.col("component") == F.col("c2")).select(F.col("sig").alias("s2"), "keep_id", "keep_key")
-        met = prints.join(keep, F.col("sig") == F.col("s2")).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "keep_id", "keep_key")
+        met = merged(prints).join(keep, F.col("sig") == F.col("s2")).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "keep_id", "keep_key")
         stays = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_key") == F.col("keep_key"))
         met = Kept(met.groupBy("_id", "_key", stays.alias("stays")).count(), "met")
         tables.remove(met)

@@ -87,3 +87,22 @@ def test_null_and_repeated_ids(spark):
     got = sorted(r.source for r in shingles.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got[0] == "1" and len(got) == 3 and got[1] in "34" and got[2] in "56"
     assert shingles.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sides_that_grow_with_the_table_are_not_broadcast(spark, monkeypatch):
+    """Files of this size are below Spark's threshold; what is made of them by an explode, or its sparse bits, need not be."""
+    plans = {}
+
+    class Seen(shingles.Kept):
+        def __init__(self, df, label):
+            plans[label] = df._jdf.queryExecution().executedPlan().toString()
+            super().__init__(df, label)
+
+    monkeypatch.setattr(shingles, "Kept", Seen)
+    rng = random.Random(9)
+    rows = [(i, text(rng, 60), "") for i in range(40)]
+    rows += [(100 + i, t + " more", "") for i, t, _ in rows[:20]]
+    assert shingles.near_components(spark.createDataFrame(rows, SCHEMA)).select("component").distinct().count() == 40
+    for label in ("cells", "pairs", "similar"):
+        joins = re.findall("SortMergeJoin|BroadcastHashJoin", plans[label])
+        assert joins[:1] == ["SortMergeJoin"] and (label == "cells" or joins[1] == "SortMergeJoin"), label

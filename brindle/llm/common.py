@@ -33,12 +33,12 @@ class Kept:
     It is deleted by drop(), at the end of passing(), or else when the driver ends.
     """
 
-    _passing: list[Kept] | None = None
+    _passing: list[list[Kept]] = []
 
     def __init__(self, df: DataFrame, label: str, by: list[str] | None = None, **options: str):
         self.spark = df.sparkSession
-        if Kept._passing is not None:
-            Kept._passing.append(self)
+        for tables in Kept._passing:
+            tables.append(self)
         self.path = f"{shared_dir(self.spark)}/brindle-{uuid.uuid4().hex}-{label}"
         writer = df.write.option("compression", "zstd").options(**options)
         (writer.partitionBy(*by) if by else writer).parquet(self.path)
@@ -57,13 +57,13 @@ class Kept:
     @classmethod
     @contextmanager
     def passing(cls):
-        """Tables kept inside are deleted at the end, but for those that the caller takes out of the list."""
-        before, cls._passing = cls._passing, []
+        """Tables kept inside are deleted at the end, but for those that the caller takes out of the list; of one passing()
+        within another they go with the outer one."""
+        cls._passing.append([])
         try:
-            yield cls._passing
+            yield cls._passing[-1]
         finally:
-            own, cls._passing = cls._passing, before
-            for one in own:
+            for one in cls._passing.pop():
                 one.drop()
 
 

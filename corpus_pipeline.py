@@ -51,9 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = Kept(docs, f"stage-{k}").df
-    return docs
+    """A stage's tables go once its result is kept, that result once the next one's is: disk does not add up over stages."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with Kept.passing() as tables:
+            after = Kept(stage(spark, docs, sf_dir), f"stage-{k}")
+            tables.remove(after)
+        if before:
+            before.drop()
+        docs, before = after.df, after
+        spark.sparkContext._jvm.System.gc()  # else the stage's shuffle files stay until the driver happens to collect its garbage
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brindle.llm import quality
+from brindle.llm import common, quality
 
 from .test_mixing import water_fill
 from .test_packing import tokenizer
@@ -105,3 +105,12 @@ def test_empty_tables(spark, tmp_path, what):
     spark.read.parquet(f"{sf_dir}/{other}.parquet").write.parquet(str(tmp_path / "sf2" / f"{other}.parquet"))
     n = corpus_pipeline.run(spark, str(tmp_path / "sf2")).count()
     assert (n == 0) == (what == "documents")  # without labels nothing is rejected
+
+
+def test_tables_do_not_add_up_over_stages(spark, tmp_path, monkeypatch):
+    """When the run is over, of what it kept only the last two stages' tables are there."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path / "shared"))
+    sf_dir = folder(spark, tmp_path, [])
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = sorted(p.name.split("-", 2)[2] for p in (tmp_path / "shared").iterdir() if p.name.startswith("brindle-"))
+    assert left == ["pieces", "stage-3"] and out.count() > 0
